@@ -87,15 +87,11 @@ def ascii_fold(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), text).otherwise(folded)
 
 
-def words_joined(text: Column, separators: str) -> Column:
-    """Collapse every run of separators to one space (splitting is far cheaper than replacing)."""
-    return F.trim(F.array_join(F.split(text, separators), " "))
-
-
 def comparison_key(text: Column) -> Column:
     """Accent-free lower-case words separated by single spaces; NULL gives the empty string."""
-    words = words_joined(F.lower(ascii_fold(text)), r"[^a-z0-9_'-]+")
-    return F.coalesce(words, F.lit(""))
+    # \w is one table lookup per character; the spelled-out class [^a-z0-9_'-] is several times slower.
+    words = F.regexp_replace(F.lower(ascii_fold(text)), r"[^\w'-]+", " ")
+    return F.coalesce(F.trim(words), F.lit(""))
 
 
 def company_key(name: Column) -> Column:
@@ -212,7 +208,7 @@ def output_language(lang: Column) -> Column:
 
 def slug(text: Column) -> Column:
     """ASCII kebab-case; empty when nothing is left."""
-    dashed = F.regexp_replace(F.lower(ascii_fold(text)), "[^a-z0-9]+", "-")
+    dashed = F.regexp_replace(F.lower(ascii_fold(text)), r"[\W_]+", "-")
     return F.regexp_replace(dashed, "^-+|-+$", "")
 
 

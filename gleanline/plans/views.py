@@ -34,7 +34,7 @@ def _case(key: str, values: list) -> str:
 POSTING = f"""
 SELECT d.doc_id AS id, d.source, CAST(d.doc_id AS STRING) AS external_id,
   {_case('d.doc_id % 16', _ROLES)} || {_case('d.doc_id % 5', [' (m/w/d)', ' - f/m/d', '', '', ''])} AS title,
-  'Company ' || CAST(d.doc_id % 97 AS STRING) || {_case('d.doc_id % 4', [' S.r.l.', ' GmbH', '', ' Holding'])} AS company,
+  'Company ' || CAST(d.doc_id % 13 AS STRING) || {_case('d.doc_id % 4', [' S.r.l.', ' GmbH', '', ' Holding'])} AS company,
   'https://jobs.example.com/' || CAST(d.doc_id AS STRING) AS url,
   d.text AS description,
   {_case('d.doc_id % 12', _PLACES)} AS location,
