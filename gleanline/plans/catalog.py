@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .registry import ORACLES, QUERIES  # noqa: F401
-from . import catalog_text, catalog_resolve  # noqa: F401
+from . import catalog_filter, catalog_resolve, catalog_text  # noqa: F401
 
 
 def shortlist(spark, folder):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,9 @@ class Tables:
 
     def sql(self, text: str) -> DataFrame:
         """Run `text`, which names driver tables as {table}, without touching the catalog."""
-        names = {w.split("}")[0] for w in text.split("{")[1:]}
-        return self.spark.sql(text, **{n: getattr(self, n) for n in names})
+        names = set(re.findall(r"\{([a-z]+)\}", text))
+        escaped = re.sub(r"\{([a-z]+)\}|[{}]", lambda m: m.group() if m.group(1) else m.group() * 2, text)
+        return self.spark.sql(escaped, **{n: getattr(self, n) for n in names})
 
 
 def query(name: str, sql: str | None = None):
