@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import rules, salary, text
+from ..session import evaluate_once
 from . import twin
 from .catalog_text import duck_places, duck_salaries
 from .registry import Tables
@@ -32,7 +33,7 @@ def canonical(t: Tables) -> DataFrame:
         }
     )
     kept = [c(n) for n in COLUMNS if n != "title"]
-    return rows.select(
+    canon = rows.select(
         *kept,
         text.tidy_title(c("title")).alias("title"),
         text.company_key(c("company")).alias("company_normalized"),
@@ -49,6 +50,7 @@ def canonical(t: Tables) -> DataFrame:
         F.coalesce("posted_at", F.lit("2024-02-01").cast("timestamp")).alias("first_seen_at"),
         F.when(c("quality").isNull(), 0).when(c("id") % 4 == 0, 2).otherwise(1).alias("reached_stage"),
     )
+    return evaluate_once(canon)
 
 
 def duck_canonical() -> str:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from .registry import ORACLES, QUERIES  # noqa: F401
-from . import catalog_filter, catalog_resolve, catalog_text  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
 
+from . import catalog_filter, catalog_rank, catalog_resolve, catalog_text  # noqa: F401
+from .registry import ORACLES, QUERIES, Tables  # noqa: F401
 
-def shortlist(spark, folder):
-    raise NotImplementedError
+
+def shortlist(spark: SparkSession, folder: str) -> DataFrame:
+    return catalog_rank.shortlist(Tables(spark, folder))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, rules
 from ..functions import fixed_values as fv
 from ..operators import filters
+from ..session import evaluate_once
 from . import twin
 from .canonical import canonical, duck_canonical
 from .registry import Tables, query
@@ -34,7 +35,7 @@ def asof():
 
 
 def judged(t: Tables):
-    return canonical(t).withColumn("rejected", filters.rejection(CRITERIA.columns(), asof()))
+    return evaluate_once(canonical(t).withColumn("rejected", filters.rejection(CRITERIA.columns(), asof())))
 
 
 _RANK = {k: v for k, v in fv.SENIORITY_RANK.items()}

@@ -22,7 +22,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         naive = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
-        return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
+        df = df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
+        self.__dict__[name] = df
+        return df
 
     def sql(self, text: str) -> DataFrame:
         """Run `text`, which names driver tables as {table}, without touching the catalog."""

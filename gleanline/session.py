@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the library relies on. A cluster sets its own sizes (executors, shuffle partitions,
 # broadcast threshold); nothing below depends on the number of cores.
@@ -47,3 +48,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def evaluate_once(df: DataFrame) -> DataFrame:
+    """Keep Catalyst from copying the projection of `df` into the filters above it.
+
+    A filter on a derived column is normally rewritten in terms of the base columns. For columns
+    built from long rule chains that repeats the whole chain once per reference. Rows that come out
+    of a generator are not seen through, so each expression runs once per row, in the same stage.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
