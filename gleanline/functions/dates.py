@@ -9,21 +9,24 @@ from . import fixed_values as fv
 from .text import strip
 
 _ISO = (
-    r"^\d{4}-?\d{2}-?\d{2}"
-    r"([T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d{1,9})?)?)?([+-]\d{2}(:?\d{2})?|Z)?)?$"
+    r"^(\d{4})-?(\d{2})-?(\d{2})"
+    r"(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,9}))?)?)?(?:Z|([+-]\d{2})(?::?(\d{2}))?)?)?$"
 )
 
 
 def parse_iso(text: Column) -> Column:
     """ISO 8601 with or without time and zone; no zone means UTC; anything else is NULL."""
     value = strip(text)
-    day = F.regexp_replace(value, r"^(\d{4})-?(\d{2})-?(\d{2})", "$1-$2-$3")
-    clock = F.regexp_replace(day, r"(?<=[T ])(\d{2})(\d{2})(\d{2})?(?=$|[.,+Z-])", "$1:$2:$3")
-    clock = F.regexp_replace(F.regexp_replace(clock, ",", "."), r":(?=$|[+Z-])", "")
-    clock = F.regexp_replace(clock, r"(?<=[T ])(\d{2})(?=$|[+Z-])", "$1:00")
-    zoned = F.regexp_replace(clock, r"(?<=:\d{2}|\.\d{1,9})([+-]\d{2}):?(\d{2})?$", "$1:$2")
-    zoned = F.regexp_replace(zoned, r":$", ":00")
-    return F.when(value.rlike(_ISO), zoned.try_cast("timestamp"))
+
+    def part(group: int, default: str = "00") -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(value, _ISO, group), F.lit("")), F.lit(default))
+
+    rebuilt = F.concat(
+        part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "),
+        part(4), F.lit(":"), part(5), F.lit(":"), part(6), F.lit("."), part(7, "0"),
+        part(8, "+00"), F.lit(":"), part(9),
+    )
+    return F.when(value.rlike(_ISO), rebuilt.try_cast("timestamp"))
 
 
 def from_epoch(seconds: Column) -> Column:

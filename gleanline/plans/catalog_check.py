@@ -185,12 +185,12 @@ def provenance(t: Tables):
 @query(
     "v02_numbers",
     f"WITH d AS (SELECT doc_id, text || ' ridotto del ' || doc_id % 100 || ',5% in ' || doc_id || ' giorni' AS text FROM documents), {duck_numbers('nums', 'd', 'doc_id')} "
-    "SELECT doc_id, count(*) AS n, round(sum(v), 4) AS total, max(v) AS highest FROM nums GROUP BY 1",
+    "SELECT doc_id, count(*) AS n, round(sum(CASE WHEN v < 1e6 THEN v ELSE 0 END), 4) AS total, max(v) AS highest FROM nums GROUP BY 1",
 )
 def numbers_found(t: Tables):
     composed = F.concat(c("text"), F.lit(" ridotto del "), (c("doc_id") % 100).cast("string"), F.lit(",5% in "), c("doc_id").cast("string"), F.lit(" giorni"))
     found = t.documents.select("doc_id", numbers.numbers_in(composed).alias("v"))
-    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.when(x < 1e6, x).otherwise(0.0))
     return found.select("doc_id", F.size("v").cast("long").alias("n"), F.round(total, 4).alias("total"), F.array_max("v").alias("highest"))
 
 

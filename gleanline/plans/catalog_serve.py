@@ -228,13 +228,18 @@ def costs(t: Tables):
 
 @query(
     "w17_price_table",
-    f"WITH {_DUCK_PRICES}, r AS (SELECT DISTINCT r_name FROM region) SELECT r_name AS region, model, CAST(inp AS DOUBLE) AS input_per_million, CAST(outp AS DOUBLE) AS output_per_million, currency FROM r, p",
+    "SELECT 'm' || p_partkey AS model, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) ELSE p_retailprice END AS input_per_million, p_size * 2.0 AS output_per_million, "
+    "CASE WHEN p_size % 2 = 0 THEN 'EUR' ELSE 'USD' END AS currency FROM part WHERE p_partkey % 7 > 0",
 )
 def price_table(t: Tables):
-    """One price setting per region."""
-    tagged = t.region.select(F.concat(F.lit('{"'), "r_name", F.lit(f'":1,{_PRICES[1:]}')).alias("value"), "r_name")
-    parsed = serve.price_table(tagged.select("value"))
-    return tagged.select(c("r_name").alias("region"), F.lit(1).alias("one")).join(parsed.distinct().withColumn("one", F.lit(1)), "one").drop("one")
+    """One settings object per part; every seventh price is malformed."""
+    part = t.part.withColumn("rate", F.when(c("p_partkey") % 3 == 0, F.concat(F.lit('"'), c("p_size").cast("string"), F.lit('"'))).otherwise(c("p_retailprice").cast("string")))
+    bad = c("p_partkey") % 7 == 0
+    value = F.concat(
+        F.lit('{"m'), c("p_partkey").cast("string"), F.lit('":{"input_per_million":'), F.when(bad, '"x"').otherwise(c("rate")),
+        F.lit(',"output_per_million":'), (c("p_size") * 2).cast("string"), F.when(c("p_size") % 2 == 0, ',"currency":"EUR"').otherwise(""), F.lit('},"note":"by hand"}'),
+    )
+    return serve.price_table(part.select(value.alias("value")))
 
 
 @query("w18_usage_to_write", with_views("usage", body="SELECT event_id, purpose, model, calls FROM v_usage WHERE calls > 0"))
