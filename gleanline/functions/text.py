@@ -242,9 +242,12 @@ def clean_extraction(text: Column) -> Column:
 
 def word_integrity(text: Column) -> Column:
     """Share of letter runs of plausible length; zero without any."""
-    words = F.regexp_extract_all(text, F.lit(r"(?U)([^\W\d_]+)"), 1)
-    plausible = F.filter(words, lambda w: F.length(w) <= fv.MAX_PLAUSIBLE_WORD)
-    return F.when(F.size(words) > 0, F.size(plausible) / F.size(words)).otherwise(0.0)
+
+    def share(words: Column) -> Column:
+        plausible = F.filter(words, lambda w: F.length(w) <= fv.MAX_PLAUSIBLE_WORD)
+        return F.when(F.size(words) > 0, F.size(plausible) / F.size(words)).otherwise(0.0)
+
+    return let(F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), 1), share)
 
 
 def numeric_tokens(text: Column) -> Column:
@@ -255,14 +258,19 @@ def numeric_tokens(text: Column) -> Column:
 
 def prose_quality(text: Column) -> Column:
     """How much an extraction looks like prose: line length, letters, few fragments."""
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(strip(line)) > 0)
-    count = F.size(lines)
-    characters = F.aggregate(lines, F.lit(0).cast("long"), lambda total, line: total + F.length(line))
-    short = F.size(F.filter(lines, lambda line: F.length(line) <= 3))
-    letters = F.length(F.regexp_replace(text, rf"(?U)[^\p{{L}}\s\x1c-\x1f]", ""))
-    score = (
-        F.least(characters / count, F.lit(80.0)) / 80 * 0.5
+    filled = F.filter(F.split(text, "\n"), lambda line: F.length(strip(line)) > 0)
+    letters = F.length(F.regexp_replace(text, r"(?U)[^\p{L}\s]+", ""))
+
+    def shape_of(lines: Column) -> Column:
+        count = F.size(lines)
+        characters = F.aggregate(lines, F.lit(0).cast("long"), lambda total, line: total + F.length(line))
+        short = F.size(F.filter(lines, lambda line: F.length(line) <= 3))
+        return F.struct(count.alias("count"), characters.alias("characters"), short.alias("short"))
+
+    shape = let(filled, shape_of)
+    quality = (
+        F.least(shape["characters"] / shape["count"], F.lit(80.0)) / 80 * 0.5
         + letters / F.length(text) * 0.4
-        + (1 - short / count) * 0.1
+        + (1 - shape["short"] / shape["count"]) * 0.1
     )
-    return F.when(count > 0, score).otherwise(0.0)
+    return F.when(shape["count"] > 0, quality).otherwise(0.0)

@@ -53,18 +53,17 @@ def simhash(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
     hashed = texts.select(
         id_column, F.explode_outer(let(words, shingles)).alias("shingle")
     ).select(id_column, hash64(F.col("shingle")).alias("h"))
-    pair = F.lit((1 << 32) | 1)
+    pair, low = (1 << 32) | 1, (1 << 32) - 1
     counted = hashed.groupBy(id_column).agg(
         F.count("h").alias("n"),
-        *[F.sum(F.shiftright("h", b).bitwiseAND(pair)).alias(f"s{b}") for b in range(32)],
+        *[F.expr(f"sum(shiftright(h, {b}) & {pair}L)").alias(f"s{b}") for b in range(32)],
     )
-    bits = F.lit(0).cast("long")
-    for b in range(32):
-        low, high = F.col(f"s{b}").bitwiseAND(F.lit((1 << 32) - 1)), F.shiftright(F.col(f"s{b}"), 32)
-        for bit, count in ((b, low), (b + 32, high)):
-            majority = (count * 2 > F.col("n")).cast("long")
-            bits = bits.bitwiseOR(F.shiftleft(majority, bit))
-    return counted.select(id_column, F.coalesce(bits, F.lit(0).cast("long")).alias("simhash"))
+    majority = [f"shiftleft(CAST((s{b} & {low}L) * 2 > n AS BIGINT), {b})" for b in range(32)]
+    majority += [f"shiftleft(CAST(shiftright(s{b}, 32) * 2 > n AS BIGINT), {b + 32})" for b in range(32)]
+    # Balanced halves keep the expression tree shallow.
+    while len(majority) > 1:
+        majority = [f"({x} | {y})" for x, y in zip(majority[::2], majority[1::2], strict=True)]
+    return counted.select(id_column, F.expr(f"coalesce({majority[0]}, 0L)").alias("simhash"))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -77,16 +76,13 @@ def _band(print_: Column, band) -> Column:
 
 def _probes(nodes: DataFrame) -> DataFrame:
     """Every node once per band and one-bit variant of the band value (flip -1 is the value itself)."""
-    variants = []
-    for band in range(_BANDS):
-        for flip in range(-1, _WIDTH):
-            value = _band(F.col("simhash"), band)
-            if flip >= 0:
-                value = value.bitwiseXOR(F.lit(1 << flip))
-            variants.append(
-                F.struct(F.lit(band).alias("band"), F.lit(flip).alias("flip"), value.cast("int").alias("slot"))
-            )
-    return nodes.withColumn("probe", F.explode(F.array(*variants))).select(*nodes.columns, "probe.*")
+    variants = ", ".join(
+        f"named_struct('band', {band}, 'flip', {flip}, 'slot', "
+        f"CAST((shiftrightunsigned(simhash, {band * _WIDTH}) & 65535L) ^ {1 << flip if flip >= 0 else 0}L AS INT))"
+        for band in range(_BANDS)
+        for flip in range(-1, _WIDTH)
+    )
+    return nodes.select(*nodes.columns, F.expr(f"inline(array({variants}))"))
 
 
 def _split_hot(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
