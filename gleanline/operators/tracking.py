@@ -13,26 +13,28 @@ from ..functions.text import comparison_key, lookup
 _GRAM = 4
 
 
-def waiting_context(applications: DataFrame, events: DataFrame) -> DataFrame:
-    """Waiting applications with the day to search from and the message ids seen so far.
+def waiting_context(applications: DataFrame) -> DataFrame:
+    """Waiting applications with the day to search from: the last check, else the submission."""
+    since = F.to_date(F.coalesce("last_email_checked_at", "submitted_at"))
+    waiting = applications.where(F.col("status").isin(fv.WAITING_STATUSES))
+    return waiting.withColumn("since", since).where("since IS NOT NULL")
+
+
+def known_messages(context: DataFrame, events: DataFrame) -> DataFrame:
+    """(application_id, message_id) read before, for waiting applications.
 
-    `events` has application_id, event_type, payload (JSON). Ids are few per application by nature
-    (one per message of one hiring process) and stay a set.
+    Rows and not a list per application: a busy application stays spread over tasks. `events` has
+    application_id, event_type and payload (JSON).
     """
-    message_id = F.get_json_object("payload", "$.message_id")
-    seen = (
-        events.where("event_type = 'email_received'")
-        .groupBy("application_id")
-        .agg(F.array_sort(F.collect_set(F.nullif(message_id, F.lit("")))).alias("known_ids"))
-    )
-    waiting = applications.where(F.col("status").isin(fv.WAITING_STATUSES))
-    since = F.to_date(F.coalesce("last_email_checked_at", "submitted_at"))
-    return (
-        waiting.withColumn("since", since)
-        .where("since IS NOT NULL")
-        .join(seen, "application_id", "left")
-        .withColumn("known_ids", F.coalesce("known_ids", F.array().cast("array<string>")))
-    )
+    message_id = F.nullif(F.get_json_object("payload", "$.message_id"), F.lit(""))
+    seen = events.where("event_type = 'email_received'").select("application_id", message_id.alias("message_id"))
+    return seen.where("message_id IS NOT NULL").join(context.select("application_id"), "application_id", "left_semi").distinct()
+
+
+def in_thread(messages: DataFrame, known: DataFrame) -> DataFrame:
+    """(application_id, message_id) pairs where the message refers to a known one of the application."""
+    refers = messages.select("message_id", "sent_at", F.explode("references").alias("known_id"))
+    return known.select("application_id", F.col("message_id").alias("known_id")).join(refers, "known_id").drop("known_id").distinct()
 
 
 def name_tokens(company_normalized: Column) -> Column:
@@ -78,34 +80,29 @@ def name_hits(applications: DataFrame, messages: DataFrame) -> DataFrame:
     return rarest.join(pieces, "gram").where(F.contains("hay", "token")).select("token", "hay")
 
 
-def correlate(context: DataFrame, messages: DataFrame) -> DataFrame:
+def correlate(context: DataFrame, known: DataFrame, messages: DataFrame) -> DataFrame:
     """(application_id, message_id, sent_at): messages of an application by name or by thread.
 
     `messages` has message_id, sender, subject, sent_at, references (array of ids). Each
     application applies its own date floor.
     """
-    app = context.select("application_id", "company_normalized", "since", "known_ids")
-    keyed = messages.select(
-        "message_id", "sent_at", "references", haystack(F.col("sender"), F.col("subject")).alias("hay")
-    )
+    app = context.select("application_id", "company_normalized", "since")
+    keyed = messages.select("message_id", "sent_at", haystack(F.col("sender"), F.col("subject")).alias("hay"))
     by_name = (
         app.select("application_id", "since", F.explode(name_tokens(F.col("company_normalized"))).alias("token"))
         .join(name_hits(app, messages), "token")
         .join(keyed, "hay")
     )
-    by_thread = app.select("application_id", "since", F.explode("known_ids").alias("known")).join(
-        keyed.select("message_id", "sent_at", F.explode("references").alias("known")), "known"
-    )
+    by_thread = in_thread(messages, known).join(app.select("application_id", "since"), "application_id")
     wanted = ["application_id", "message_id", "sent_at", "since"]
     found = by_name.select(*wanted).unionByName(by_thread.select(*wanted))
     return found.where(F.col("sent_at") >= F.col("since").cast("timestamp")).drop("since").distinct()
 
 
-def unseen(related: DataFrame, context: DataFrame) -> DataFrame:
+def unseen(related: DataFrame, known: DataFrame) -> DataFrame:
     """Messages not read before for their application; a message without id is always new."""
-    seen = context.select("application_id", F.explode("known_ids").alias("message_id"))
     anonymous = related.where(F.coalesce(F.col("message_id"), F.lit("")) == "")
-    named = related.where("message_id <> ''").join(seen, ["application_id", "message_id"], "left_anti")
+    named = related.where("message_id <> ''").join(known, ["application_id", "message_id"], "left_anti")
     return named.unionByName(anonymous)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import rules, text
 from ..operators import resolve
+from ..session import cut_lineage
 from . import twin
 from .catalog_text import duck_places
 from .registry import Tables, query
@@ -46,11 +47,14 @@ def duck_prints(source: str = "documents", ident: str = "doc_id", body: str = "t
 
 
 def listing(t: Tables):
-    """Listings with their fingerprint; texts dropped once it is known."""
+    """Listings with their fingerprint; texts dropped once it is known.
+
+    Written once, as the stored posting table would be: grouping, matching and merging all read it.
+    """
     rows = view(t, "listing")
     prints = resolve.simhash(rows, "id", "description_clean")
     lean = rows.withColumn("chars", F.length("description_clean")).drop("description_clean", "n_chars")
-    return lean.join(prints, "id")
+    return cut_lineage(lean.join(prints, "id"))
 
 
 _V = f"v AS MATERIALIZED (SELECT *, length(description_clean) AS chars FROM ({duck('listing')}))"

@@ -46,13 +46,21 @@ _CONTEXT = f"""apps AS MATERIALIZED (SELECT *, {twin.company('company')} AS comp
     WHERE status IN ('submitted', 'acknowledged', 'interview') GROUP BY ALL)"""
 
 
+def context_and_known(t: Tables):
+    context = tracking.waiting_context(applications(t))
+    return context, tracking.known_messages(context, seen_events(t))
+
+
 @query(
     "t01_waiting_context",
-    with_views("application", "mail", body=f", {_CONTEXT} SELECT application_id, strftime(since, '%Y-%m-%d') AS since, coalesce(array_to_string(known, ','), '') AS known_ids FROM ctx"),
+    with_views("application", "mail", body=f", {_CONTEXT} SELECT application_id, strftime(since, '%Y-%m-%d') AS since, CAST(coalesce(len(known), 0) AS BIGINT) AS known_ids FROM ctx"),
 )
 def waiting_context(t: Tables):
-    out = tracking.waiting_context(applications(t), seen_events(t))
-    return out.select("application_id", F.date_format("since", "yyyy-MM-dd").alias("since"), F.array_join("known_ids", ",").alias("known_ids"))
+    context, known = context_and_known(t)
+    counts = known.groupBy("application_id").agg(F.count("*").alias("n"))
+    return context.join(counts, "application_id", "left").select(
+        "application_id", F.date_format("since", "yyyy-MM-dd").alias("since"), F.coalesce("n", F.lit(0)).alias("known_ids")
+    )
 
 
 _HAY = twin.key("sender || ' ' || subject")
@@ -74,11 +82,11 @@ def looks_related(t: Tables):
 
 @query(
     "t03_thread_relation",
-    with_views("application", "mail", body=f", {_CONTEXT} SELECT event_id, list_contains(coalesce(known, []), reference_id) AS in_thread FROM mails JOIN ctx USING (application_id)"),
+    with_views("application", "mail", body=f", {_CONTEXT} SELECT DISTINCT ctx.application_id, message_id FROM mails JOIN ctx ON list_contains(coalesce(known, []), reference_id)"),
 )
 def thread_relation(t: Tables):
-    context = tracking.waiting_context(applications(t), seen_events(t))
-    return mails(t).join(context, "application_id").select("event_id", F.arrays_overlap("references", "known_ids").alias("in_thread"))
+    known = context_and_known(t)[1]
+    return tracking.in_thread(mails(t), known).select("application_id", "message_id").distinct()
 
 
 _RELATED = f"""hays AS MATERIALIZED (SELECT *, {_HAY} AS hay FROM mails),
@@ -87,8 +95,8 @@ _RELATED = f"""hays AS MATERIALIZED (SELECT *, {_HAY} AS hay FROM mails),
 
 
 def related(t: Tables):
-    context = tracking.waiting_context(applications(t), seen_events(t))
-    return context, tracking.correlate(context, mails(t))
+    context, known = context_and_known(t)
+    return known, tracking.correlate(context, known, mails(t))
 
 
 @query(
@@ -104,8 +112,8 @@ def correlate(t: Tables):
     with_views("application", "mail", body=f", {_CONTEXT}, {_RELATED} SELECT application_id, message_id, {twin.iso('sent_at')} AS sent_at FROM rel JOIN ctx USING (application_id) WHERE message_id = '' OR NOT list_contains(coalesce(known, []), message_id)"),
 )
 def unseen(t: Tables):
-    context, found = related(t)
-    return tracking.unseen(found, context).withColumn("sent_at", F.date_format("sent_at", STAMP))
+    known, found = related(t)
+    return tracking.unseen(found, known).withColumn("sent_at", F.date_format("sent_at", STAMP))
 
 
 def _stub_classifier(prompt: str):
@@ -164,7 +172,7 @@ def timeline(t: Tables):
 )
 def advance_mark(t: Tables):
     apps = applications(t)
-    out = tracking.advance_mark(apps, tracking.waiting_context(apps, seen_events(t)), now())
+    out = tracking.advance_mark(apps, tracking.waiting_context(apps), now())
     return out.select("application_id", F.date_format("last_email_checked_at", STAMP).alias("checked_at"))
 
 
