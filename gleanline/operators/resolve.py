@@ -155,36 +155,42 @@ def connected_components(edges: DataFrame) -> DataFrame:
     a vertex joined to a third of all rows costs one partial row per task. Each round is written to
     the checkpoint folder.
     """
-    current = edges.select(
-        F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
-    ).where("src <> dst").distinct()
-    state = None
-    while True:
+    current = cut_lineage(
+        edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+        .where("src <> dst")
+        .distinct()
+    )
+    while not _is_stars(current):
         both = current.unionByName(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         lowest = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("root"))
         large = (
             both.join(lowest, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("root").alias("dst"))
         ).distinct()
         parent = large.groupBy("src").agg(F.min("dst").alias("root"))
-        small = large.join(parent, "src").select(
-            F.explode(
-                F.array(
-                    F.struct(F.col("src"), F.col("root").alias("dst")),
-                    F.struct(F.col("dst").alias("src"), F.col("root").alias("dst")),
-                )
-            ).alias("e")
-        ).select("e.*")
+        ends = F.array(
+            F.struct(F.col("src"), F.col("root").alias("dst")),
+            F.struct(F.col("dst").alias("src"), F.col("root").alias("dst")),
+        )
+        small = large.join(parent, "src").select(F.inline(ends))
         current = cut_lineage(small.where("src <> dst").distinct())
-        summary = current.agg(
-            F.count("*").alias("n"), F.bit_xor(F.xxhash64("src", "dst")).alias("x")
-        ).first()
-        if state == summary:
-            break
-        state = summary
     roots = current.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct()
     return current.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(roots)
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Every source has one target and no target is a source: nothing is left to contract."""
+    ends = edges.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("src").alias("v"), F.lit(1).alias("out"), F.lit(0).alias("into")),
+                F.struct(F.col("dst").alias("v"), F.lit(0).alias("out"), F.lit(1).alias("into")),
+            )
+        )
+    )
+    degrees = ends.groupBy("v").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return degrees.where("out > 1 OR (out > 0 AND into > 0)").limit(1).count() == 0
+
+
 def _star(rows: DataFrame, keys: list[str], node: str) -> DataFrame:
     """Edges from each member of a group to the group's smallest member."""
     centre = rows.groupBy(*keys).agg(F.min(node).alias("dst"), F.count("*").alias("n")).where("n > 1")
