@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..operators import filters, retrieve, rubric
+from ..session import cut_lineage
 from . import twin
 from .canonical import canonical, duck_canonical
 from .catalog_filter import duck_judged, judged
@@ -354,7 +355,8 @@ def requirements(t: Tables):
 
 def _stage_inputs(t: Tables):
     """Existing matches for half of the postings; new outcomes from filters and ids."""
-    rows = judged(t).select("id", "rejected", "score", "reached_stage")
+    # All four inputs come from one evaluation, as they would in the daily job.
+    rows = cut_lineage(judged(t).select("id", "rejected", "score", "reached_stage"))
     matches = rows.where("id % 2 = 0").select(
         c("id").alias("job_id"), F.lit("seen").alias("status"), "reached_stage", F.lit("old").alias("filtered_reason"),
         F.lit(0.25).alias("hybrid_score"), "score", F.lit("2024-01-01").cast("timestamp").alias("scored_at"),
