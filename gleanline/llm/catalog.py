@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import near_dedup, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op1_near_dedup")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, folder, "documents"), width=3, percent=85)
+
+
+@query("op2_secret_scan", secret_scan.oracle())
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.secret_spans(table(spark, folder, "documents")))
