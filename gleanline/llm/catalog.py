@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, secret_scan
+from . import line_dedup, near_dedup, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_secret_scan", secret_scan.oracle())
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_spans(table(spark, folder, "documents")))
+
+
+@query("op5_line_dedup", line_dedup.oracle())
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, folder, "documents")))
