@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dedup, secret_scan
+from . import line_dedup, near_dedup, packing, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_line_dedup", line_dedup.oracle())
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, folder, "documents")))
+
+
+@query("op9_packing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
