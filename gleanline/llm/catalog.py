@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dedup, packing, quality_rules, secret_scan
+from . import language_id, line_dedup, near_dedup, packing, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_quality_rules", quality_rules.oracle())
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.digest(quality_rules.judge(table(spark, folder, "documents")))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.language_query(table(spark, folder, "documents"))
