@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, near_dedup, packing, quality_rules, secret_scan
+from . import class_lm, fingerprints, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,18 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_language_id")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.language_query(table(spark, folder, "documents"))
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.quality_query(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_class_lm")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return class_lm.lm_query(table(spark, folder, "documents"))
+
+
+@query("op6_fingerprints")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, folder, "documents"))
