@@ -209,6 +209,21 @@ def digest(spans: DataFrame) -> DataFrame:
     )
 
 
+def _hidden(rule: Rule) -> Column:
+    """`text` with the rule's name in brackets for each of its secrets."""
+    cut = F.arrays_zip(
+        F.split("text", rule.pattern, -1).alias("gap"),
+        F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0)).alias("whole"),
+        F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group)).alias("tested"),
+    )
+
+    def put(x: Column) -> Column:
+        secret = F.char_length(x["tested"]) >= rule.least
+        return F.concat(x["gap"], F.when(secret, F.lit(f"[{rule.kind}]")).otherwise(F.coalesce(x["whole"], F.lit(""))))
+
+    return F.array_join(F.transform(cut, put), "")
+
+
 def masked(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """`docs` with every secret replaced by its rule's name in brackets, rule after rule; other columns stay.
 
@@ -223,17 +238,7 @@ def masked(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
         rows = rows.drop("kinds").join(hits, F.col("doc.doc_id").eqNullSafe(F.col("hit")), "left")
     for rule in rules:
         at = F.array_contains("kinds", rule.kind) if rule.kind in indexed else F.lit(True)
-        pattern = F.lit(rule.pattern)
-        cut = F.arrays_zip(
-            F.split("text", rule.pattern, -1).alias("gap"),
-            F.regexp_extract_all("text", pattern, F.lit(0)).alias("whole"),
-            F.regexp_extract_all("text", pattern, F.lit(rule.group)).alias("tested"),
-        )
-        bad = lambda x, rule=rule: F.char_length(x["tested"]) >= rule.least
-        put = lambda x, rule=rule, bad=bad: F.concat(
-            x["gap"], F.when(bad(x), F.lit(f"[{rule.kind}]")).otherwise(F.coalesce(x["whole"], F.lit("")))
-        )
-        rows = rows.withColumn("text", F.when(at & F.col("text").rlike(rule.pattern), F.array_join(F.transform(cut, put), "")).otherwise(F.col("text")))
+        rows = rows.withColumn("text", F.when(at & F.col("text").rlike(rule.pattern), _hidden(rule)).otherwise(F.col("text")))
     return rows.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
