@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, fingerprints, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, secret_scan
+from . import class_lm, fingerprints, language_id, line_dedup, near_dedup, packing, piece_codec, quality_classifier, quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_fingerprints")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, folder, "documents"))
+
+
+@query("op4_piece_codec")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_codec.codec_query(table(spark, folder, "documents"))
