@@ -45,8 +45,8 @@ COMPANY_SUFFIXES = [
     "plc", "co", "company", "group", "holding", "holdings", "international",
     "italia", "italy", "deutschland", "germany", "europe", "emea",
 ]
-GENDER_SUFFIXES = ["m/w/d", "w/m/d", "m/f/d", "f/m/d", "m/f/x", "d/f/m", "h/f", "m/f", "m/w"]
-FEED_TLDS = ["com", "it", "de", "nl", "es", "fr", "co\\.uk", "org", "io", "jobs", "careers"]
+GENDER_SUFFIX_PATTERN = r"\s*[-–|(]?\s*(?:m/w/d|w/m/d|m/f/d|f/m/d|m/f/x|d/f/m|h/f|m/f|m/w)\s*\)?\s*$"
+FEED_DOMAIN_PATTERN = r"\.(com|it|de|nl|es|fr|co\.uk|org|io|jobs|careers)$"
 FEED_LABELS = {
     "linkedin": "LinkedIn", "indeed": "Indeed", "glassdoor": "Glassdoor", "monster": "Monster",
     "ziprecruiter": "ZipRecruiter", "infojobs": "InfoJobs", "stepstone": "StepStone",
@@ -155,7 +155,7 @@ DAYS_PER_YEAR = 215
 MIN_YEARLY = 10_000
 MAX_HOURLY = 500
 CURRENCY_SYMBOLS = {"€": "EUR", "$": "USD", "£": "GBP", "₣": "CHF"}
-CURRENCY_CODES = ["EUR", "USD", "GBP", "CHF", "PLN", "SEK", "NOK", "DKK", "CZK", "CAD", "AUD"]
+CURRENCY_CODE_PATTERN = r"\b(EUR|USD|GBP|CHF|PLN|SEK|NOK|DKK|CZK|CAD|AUD)\b"
 AMOUNT_PATTERN = r"\d[\d.,]*\s*[kK]?"
 PERIOD_RULES = [
     ("hourly", r"/\s*(?:h|hr|ora|hour)\b|\bhourly\b|\bper hour\b|\ball.ora\b"),
@@ -205,7 +205,6 @@ NEUTRAL_SCORE = 50
 SEMANTIC_WEIGHT = 0.6
 KEYWORD_WEIGHT = 0.4
 TITLE_BOOST = 3
-EMBEDDED_CHARS = 4000
 SKILL_WEIGHT = 1.0
 ROLE_WEIGHT = 0.6
 PROJECT_WEIGHT = 0.5
@@ -266,7 +265,15 @@ PREDICTED_FEED_CURRENCIES = {
     "gb": "GBP", "us": "USD", "ca": "CAD", "au": "AUD", "ch": "CHF", "pl": "PLN", "br": "BRL",
     "in": "INR", "mx": "MXN", "nz": "NZD", "sg": "SGD", "za": "ZAR",
 }
-MAX_KEYWORDS = 6
+# Limits that a caller may ask for; nothing is cut by default.
+WORK_MODE_CHARS, CONTRACT_CHARS, LANGUAGE_CHARS = 1500, 800, 4000
+EMBEDDED_CHARS, PROMPT_CHARS, REPLY_CHARS = 4000, 12_000, 4000
+REASON_CHARS, PUBLISHER_CHARS, MAX_KEYWORDS = 200, 120, 6
+# Bounds and patterns of list requests.
+SCORE_RANGE, PAGE_SIZE_RANGE, PAGE_SIZE = (0, 100), (5, 100), 25
+COUNTRY_CODE_PATTERN, FEED_CODE_PATTERN = "[A-Z]{2}", "[a-z0-9_-]{1,64}"
+LIST_ORDERS = ["score", "recent", "salary"]
+MAX_LISTED, MAX_PUBLISHER_CHARS = 20, 120
 STALE_AFTER_MINUTES = 60
 VISIBLE_MINUTES = {"done": 30, "failed": 24 * 60, "cancelled": 30}
 FOLLOW_UP_DAYS_RANGE = (3, 60)

@@ -32,9 +32,9 @@ def _hits(words: Column, members: list[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(members)))
 
 
-def detect(text: Column) -> Column:
-    """Best-scoring language of the first 4000 characters; NULL under 40 characters or no hit."""
-    words = F.split(F.lower(F.substring(text, 1, 4000)), r"[^\p{L}]+")
+def detect(text: Column, chars: int | None = None) -> Column:
+    """Best-scoring language of the text, or of its first `chars`; NULL under 40 characters or no hit."""
+    words = F.split(F.lower(text if chars is None else F.substring(text, 1, chars)), r"[^\p{L}]+")
     every = sorted({w for vocabulary in FUNCTION_WORDS.values() for w in vocabulary.split()})
     best = let(F.filter(words, lambda w: w.isin(every)), _best)
     return F.when((F.length(text) >= 40) & (best["hits"] > 0), best["code"])

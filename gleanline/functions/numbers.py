@@ -11,21 +11,32 @@ from . import fixed_values as fv
 from .text import literal_map
 
 
+def _italian(n: int, spelled: dict[int, list[str]]) -> list[str]:
+    """Tens and unit in one word; before a vowel sound the tens drop their last letter."""
+    unit = [u for u in spelled[n % 10]]
+    return [t[: len(t) - (u[0] in "uo")] + u for t in spelled[n - n % 10] for u in unit]
+
+
+def _english(n: int, spelled: dict[int, list[str]]) -> list[str]:
+    return [f"{t}-{u}" for t in spelled[n - n % 10] for u in spelled[n % 10]]
+
+
 @lru_cache(maxsize=1)
 def number_words() -> dict[str, float]:
-    """Simple words plus the compounds both languages build from tens and units."""
-    words = {**fv.ITALIAN_UNITS, **fv.ENGLISH_UNITS, **fv.ITALIAN_TENS, **fv.ENGLISH_TENS, **fv.HUNDREDS}
-    for tens, ten in fv.ITALIAN_TENS.items():
-        for unit, value in fv.ITALIAN_UNITS.items():
-            if 1 <= value <= 9:
-                # The tens lose their last vowel before "uno", "una" and "otto".
-                stem = tens[:-1] if unit.startswith(("u", "o")) else tens
-                words[stem + unit] = ten + value
-    for tens, ten in fv.ENGLISH_TENS.items():
-        for unit, value in fv.ENGLISH_UNITS.items():
-            if 1 <= value <= 9:
-                words[f"{tens}-{unit}"] = ten + value
-    return {word: float(value) for word, value in words.items()}
+    """Every spelling of a number that one token can hold, in either language, with its value."""
+    out = {word: float(n) for word, n in fv.HUNDREDS.items()}
+    for simple, compound in (
+        ({**fv.ITALIAN_UNITS, **fv.ITALIAN_TENS}, _italian),
+        ({**fv.ENGLISH_UNITS, **fv.ENGLISH_TENS}, _english),
+    ):
+        spelled: dict[int, list[str]] = {}
+        for word, n in simple.items():
+            spelled.setdefault(n, []).append(word)
+        # A number between two tens is spelled by both; the others have words of their own.
+        between = [n for n in range(21, 100) if n % 10 and n - n % 10 in spelled]
+        spelled |= {n: [*spelled.get(n, []), *compound(n, spelled)] for n in between}
+        out |= {word: float(n) for n, forms in spelled.items() for word in forms}
+    return out
 
 
 def digits_value(token: Column) -> Column:

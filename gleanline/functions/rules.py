@@ -22,10 +22,16 @@ def first_match(rules: list[tuple[str, str]], text: Column) -> Column:
     return chain
 
 
-def work_mode(title: Column, location: Column, is_remote: Column, description: Column) -> Column:
-    """Title and place, then the feed's flag, then the opening of the text."""
+def opening_of(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def work_mode(
+    title: Column, location: Column, is_remote: Column, description: Column, chars: int | None = None
+) -> Column:
+    """Title and place, then the feed's flag, then the text; `chars` (e.g. WORK_MODE_CHARS) reads its opening alone."""
     headline = F.concat_ws("\n", title, location)
-    opening = F.substring(description, 1, 1500)
+    opening = opening_of(description, chars)
     hybrid_text = matches(opening, fv.HYBRID_PATTERN)
     return (
         F.when(matches(headline, fv.HYBRID_PATTERN), "hybrid")
@@ -40,12 +46,12 @@ def work_mode(title: Column, location: Column, is_remote: Column, description: C
     )
 
 
-def contract_type(hint: Column, title: Column, description: Column) -> Column:
-    """Hint and title first; the opening of the text only when they are silent."""
+def contract_type(hint: Column, title: Column, description: Column, chars: int | None = None) -> Column:
+    """Hint and title first, the text only when they are silent; `chars` (e.g. CONTRACT_CHARS) reads its opening alone."""
     stated = F.concat_ws(" ", F.when(hint != "", hint), title)
     return F.coalesce(
         first_match(fv.CONTRACT_RULES, stated),
-        first_match(fv.CONTRACT_RULES, F.substring(description, 1, 800)),
+        first_match(fv.CONTRACT_RULES, opening_of(description, chars)),
         F.lit("unknown"),
     )
 

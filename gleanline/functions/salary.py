@@ -90,7 +90,7 @@ def stated_currency(text: Column) -> Column:
     chain = F.when(F.contains(text, F.lit(symbols[0][0])), symbols[0][1])
     for symbol, code in symbols[1:]:
         chain = chain.when(F.contains(text, F.lit(symbol)), code)
-    codes = F.upper(F.regexp_extract(text, rf"(?iU)\b({'|'.join(fv.CURRENCY_CODES)})\b", 1))
+    codes = F.upper(F.regexp_extract(text, f"(?iU){fv.CURRENCY_CODE_PATTERN}", 1))
     return chain.otherwise(F.nullif(codes, F.lit("")))
 
 

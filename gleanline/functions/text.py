@@ -115,8 +115,7 @@ def canonical_key(company: Column, title: Column, city: Column) -> Column:
 
 def tidy_title(title: Column) -> Column:
     """Drop a trailing gender marker and the dashes or bars around the title."""
-    markers = "|".join(fv.GENDER_SUFFIXES)
-    bare = F.regexp_replace(title, rf"(?iU)\s*[-–|(]?\s*(?:{markers})\s*\)?\s*$", "")
+    bare = F.regexp_replace(title, f"(?iU){fv.GENDER_SUFFIX_PATTERN}", "")
     return F.regexp_replace(bare, r"^[ \-–|]+|[ \-–|]+$", "")
 
 
@@ -175,7 +174,7 @@ def html_to_text(raw: Column) -> Column:
 def feed_label(value: Column) -> Column:
     """One spelling per known portal; unknown names pass through trimmed."""
     key = F.regexp_replace(F.lower(strip(value)), r"^www\.", "")
-    key = F.regexp_replace(key, rf"\.({'|'.join(fv.FEED_TLDS)})$", "")
+    key = F.regexp_replace(key, fv.FEED_DOMAIN_PATTERN, "")
     key = F.regexp_replace(key, "[^a-z0-9]", "")
     return F.coalesce(lookup(fv.FEED_LABELS, key), strip(value))
 

@@ -54,14 +54,15 @@ def profile_columns(alias: str = "criteria") -> dict[str, Column]:
 def candidates(
     postings: DataFrame, matches: DataFrame, rescore: bool = False, limit: int | None = None
 ) -> DataFrame:
-    """Active postings without a decision and, unless rescoring, without a score; newest first."""
+    """Active postings without a decision and, unless rescoring, without a score; with a limit the newest."""
     settled = F.col("status").isin(fv.DECIDED_STATUSES)
     if not rescore:
         settled = settled | (F.col("reached_stage") >= 2)
     done = matches.where(settled).select("job_id")
     rows = postings.where("is_active").join(done, postings["id"] == done["job_id"], "left_anti")
-    rows = rows.orderBy(F.col("posted_at").desc_nulls_last(), F.col("first_seen_at").desc(), "id")
-    return rows.limit(limit) if limit else rows
+    if limit is None:
+        return rows
+    return rows.orderBy(F.col("posted_at").desc_nulls_last(), F.col("first_seen_at").desc(), "id").limit(limit)
 
 
 def in_list(value: Column, members: Column) -> Column:
@@ -148,9 +149,10 @@ def rejection(c: dict[str, Column], now: Column) -> Column:
     return F.coalesce(*reasons)
 
 
-def reason_text(rejected: Column) -> Column:
-    """"kind: detail", at most 200 characters."""
-    return F.substring(F.concat(rejected["kind"], F.lit(": "), rejected["detail"]), 1, 200)
+def reason_text(rejected: Column, chars: int | None = None) -> Column:
+    """"kind: detail", or its first `chars` (e.g. REASON_CHARS)."""
+    reason = F.concat(rejected["kind"], F.lit(": "), rejected["detail"])
+    return reason if chars is None else F.substring(reason, 1, chars)
 
 
 def rejection_counts(judged: DataFrame) -> DataFrame:

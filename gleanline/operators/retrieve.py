@@ -54,8 +54,8 @@ def lexical_text(title: Column, family: Column, description: Column) -> Column:
     return F.concat_ws("\n", boosted, F.coalesce(family, F.lit("")), F.coalesce(description, F.lit("")))
 
 
-def embedding_text(row: dict[str, Column]) -> Column:
-    """Text for the embedding model: what matters most comes first."""
+def embedding_text(row: dict[str, Column], chars: int | None = None) -> Column:
+    """Text for the embedding model: what matters most comes first; `chars` (e.g. EMBEDDED_CHARS) shortens the description."""
     place = F.concat_ws(", ", *[F.nullif(row[n], F.lit("")) for n in ("city", "region", "country")])
     head = F.concat_ws(
         " · ",
@@ -65,7 +65,8 @@ def embedding_text(row: dict[str, Column]) -> Column:
         F.nullif(row["work_mode"], F.lit("unknown")),
         F.nullif(row["job_family"], F.lit("")),
     )
-    body = F.substring(F.coalesce(row["description"], F.lit("")), 1, fv.EMBEDDED_CHARS)
+    body = F.coalesce(row["description"], F.lit(""))
+    body = body if chars is None else F.substring(body, 1, chars)
     return F.concat(head, F.lit("\n"), body)
 
 

@@ -19,11 +19,10 @@ ASSESSMENT_SCHEMA = (
     + ", ".join(f"{c} double" for c in CRITERIA)
     + ", rationale string, gaps array<string>"
 )
-_MAX_DESCRIPTION = 12_000
 
 
-def posting_prompt(c: dict[str, Column]) -> Column:
-    """The posting block of a scoring request."""
+def posting_prompt(c: dict[str, Column], chars: int | None = None) -> Column:
+    """The posting block of a scoring request; `chars` (e.g. PROMPT_CHARS) shortens the description."""
 
     def line(label: str, value: Column) -> Column:
         return F.concat(F.lit(f"{label}: "), value)
@@ -41,7 +40,7 @@ def posting_prompt(c: dict[str, Column]) -> Column:
         line("Contract", c["contract_type"]),
         line("Level", c["seniority"]),
         line("Salary", pay),
-        F.substring(c["description"], 1, _MAX_DESCRIPTION),
+        c["description"] if chars is None else F.substring(c["description"], 1, chars),
     )
 
 

@@ -13,15 +13,47 @@ from ..functions import fixed_values as fv
 from ..functions.text import score_band, strip
 
 
-def _whole(value: str | None, fallback: int) -> int:
-    return int(value) if value is not None and re.fullmatch(r"-?\d+", value.strip()) else fallback
+def _number(low: int, high: int, default: int):
+    """Reader of one whole number, moved into its range."""
 
+    def read(values: list[str]) -> int:
+        text = values[0].strip() if values else ""
+        return min(high, max(low, int(text))) if re.fullmatch(r"-?\d+", text) else default
 
-def _listed(value: str | list[str] | None) -> list[str]:
-    if value is None:
-        return []
-    parts = value if isinstance(value, list) else value.split(",")
-    return [p for p in parts if p]
+    return read
+
+
+def _flag(values: list[str]) -> bool:
+    return values[:1] == ["1"]
+
+
+def _several(valid, change=str.strip):
+    """Reader of a list that keeps its valid entries; a list beyond the limit is refused, not shortened."""
+
+    def read(values: list[str]) -> tuple[str, ...]:
+        entries = [change(v) for value in values for v in value.split(",")]
+        kept = tuple(v for v in entries if valid(v))
+        if len(kept) > fv.MAX_LISTED:
+            raise ValueError(f"more than {fv.MAX_LISTED} values in one filter")
+        return kept
+
+    return read
+
+
+#: Request parameter and reader of each filter.
+_REQUEST = {
+    "min_score": ("min", _number(*fv.SCORE_RANGE, fv.SCORE_RANGE[0])),
+    "work_modes": ("mode", _several(lambda v: v in fv.WORK_MODES)),
+    "countries": ("country", _several(lambda v: re.fullmatch(fv.COUNTRY_CODE_PATTERN, v), str.upper)),
+    "sources": ("source", _several(lambda v: re.fullmatch(fv.FEED_CODE_PATTERN, v))),
+    "publishers": ("pub", _several(lambda v: 0 < len(v) <= fv.MAX_PUBLISHER_CHARS)),
+    "only_new": ("new", _flag),
+    "hide_seen": ("unseen", _flag),
+    "only_shortlist": ("shortlist", _flag),
+    "sort": ("sort", lambda values: next((v for v in values[:1] if v in fv.LIST_ORDERS), fv.LIST_ORDERS[0])),
+    "page": ("page", _number(1, 1 << 31, 1)),
+    "per_page": ("per", _number(*fv.PAGE_SIZE_RANGE, fv.PAGE_SIZE)),
+}
 
 
 @dataclass(frozen=True)
@@ -42,23 +74,9 @@ class MatchFilters:
 
     @classmethod
     def parse(cls, params: dict[str, str | list[str]]) -> MatchFilters:
-        """Read request parameters; anything malformed falls back or is dropped."""
-        countries = [c.upper() for c in _listed(params.get("country"))]
-        publishers = [p.strip() for p in _listed(params.get("pub"))]
-        sort = params.get("sort")
-        return cls(
-            min_score=max(0, min(100, _whole(params.get("min"), 0))),
-            work_modes=tuple(m for m in _listed(params.get("mode")) if m in fv.WORK_MODES),
-            countries=tuple(c for c in countries if re.fullmatch("[A-Z]{2}", c))[:20],
-            sources=tuple(s for s in _listed(params.get("source")) if re.fullmatch("[a-z0-9_-]{1,64}", s))[:20],
-            publishers=tuple(p for p in publishers if 0 < len(p) <= 120)[:20],
-            only_new=params.get("new") == "1",
-            hide_seen=params.get("unseen") == "1",
-            only_shortlist=params.get("shortlist") == "1",
-            sort=sort if sort in ("score", "recent", "salary") else "score",
-            page=max(1, _whole(params.get("page"), 1)),
-            per_page=max(5, min(100, _whole(params.get("per"), 25))),
-        )
+        """Read request parameters; anything malformed falls back or is dropped, too long a list is an error."""
+        given = {k: v if isinstance(v, list) else [v] for k, v in params.items() if v is not None}
+        return cls(**{field: read(given.get(name, [])) for field, (name, read) in _REQUEST.items()})
 
     def condition(self) -> Column:
         """Plain predicates over stored columns, so that they reach the file scan."""

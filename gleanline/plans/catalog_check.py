@@ -251,17 +251,17 @@ def verdicts(t: Tables):
 
 @query(
     "v08_side_by_side",
-    """SELECT doc_id, 0 AS pos, 'Dev' AS role, substr(text, 1, 20) AS text, substr(text, 1, 40) AS original FROM documents
+    """SELECT doc_id, 0 AS pos, 'Dev' AS role, text, text AS original FROM documents
       UNION ALL SELECT doc_id, 1, 'Dev', lang, NULL FROM documents""",
 )
 def side_by_side(t: Tables):
     """Generated and original bullets per document, read from JSON."""
     bullet = lambda text_, source: F.struct(text_.alias("text"), F.lit(source).alias("source_id"))
     generated = F.to_json(
-        F.struct(F.array(F.struct(F.lit("e1").alias("id"), F.array(bullet(F.substring("text", 1, 20), "b1"), bullet(c("lang"), "gone")).alias("bullets"))).alias("experience"))
+        F.struct(F.array(F.struct(F.lit("e1").alias("id"), F.array(bullet(c("text"), "b1"), bullet(c("lang"), "gone")).alias("bullets"))).alias("experience"))
     )
     original = F.to_json(
-        F.struct(F.array(F.struct(F.lit("e1").alias("id"), F.lit("Acme").alias("company"), F.lit("Dev").alias("role"), F.array(F.struct(F.lit("b1").alias("id"), F.substring("text", 1, 40).alias("text"))).alias("bullets"))).alias("experiences"))
+        F.struct(F.array(F.struct(F.lit("e1").alias("id"), F.lit("Acme").alias("company"), F.lit("Dev").alias("role"), F.array(F.struct(F.lit("b1").alias("id"), c("text").alias("text"))).alias("bullets"))).alias("experiences"))
     )
     schema = "experiences array<struct<id:string,company:string,role:string,bullets:array<struct<id:string,text:string>>>>"
     pairs = t.documents.select(

@@ -69,7 +69,7 @@ def duck_judged() -> str:
     kind = "CASE " + " ".join(f"WHEN {t} THEN '{k}'" for k, t in _TESTS.items()) + " END"
     reason = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{k}: ' || {d}" for k, d in _DETAILS.items()) + " END"
     return (
-        f"{duck_canonical()}, judged AS MATERIALIZED (SELECT *, substr({reason}, 1, 200) AS reason "
+        f"{duck_canonical()}, judged AS MATERIALIZED (SELECT *, {reason} AS reason "
         f"FROM (SELECT *, {kind} AS kind FROM canon))"
     )
 

@@ -20,7 +20,7 @@ c = F.col
 
 
 def profiles(t: Tables):
-    w = F.split(F.substring("text", 1, 400), " ")
+    w = F.split("text", " ")
 
     def word(i: int):
         return F.coalesce(F.get(w, F.lit(i)), F.lit(""))
@@ -41,15 +41,15 @@ def profiles(t: Tables):
     project = F.struct(F.lit("p1").alias("id"), word(12).alias("name"), word(12).alias("description"), F.array(word(13), word(0)).alias("tech"))
     profile = F.struct(
         F.concat_ws(" ", word(1), word(2)).alias("headline"),
-        F.struct(F.array(word(0), word(3)).alias("hard"), F.array(word(4)).alias("soft")).alias("skills"),
+        F.struct(F.concat(F.array(word(0), word(3)), F.slice(w, 15, F.greatest(F.size(w) - 14, F.lit(0)))).alias("hard"), F.array(word(4)).alias("soft")).alias("skills"),
         F.array(job(2), job(7)).alias("experiences"),
         F.array(project).alias("projects"),
     )
     return t.documents.select(c("doc_id").alias("profile_id"), profile.alias("profile"))
 
 
-_DUCK_TERMS = """p AS MATERIALIZED (SELECT doc_id, list_transform(generate_series(1, 14), lambda i: coalesce(string_split(substr(text, 1, 400), ' ')[i], '')) AS w FROM documents),
-  raw AS (SELECT doc_id, unnest([w[1], w[4], w[5], w[6], w[10], w[11], w[7], w[12]]) AS term, 1.0 AS weight FROM p
+_DUCK_TERMS = """p AS MATERIALIZED (SELECT doc_id, list_transform(generate_series(1, 14), lambda i: coalesce(string_split(text, ' ')[i], '')) AS w, string_split(text, ' ')[15:] AS rest FROM documents),
+  raw AS (SELECT doc_id, unnest([w[1], w[4], w[5], w[6], w[10], w[11], w[7], w[12]] || rest) AS term, 1.0 AS weight FROM p
     UNION ALL SELECT doc_id, unnest([w[4], w[9]]), 0.6 FROM p UNION ALL SELECT doc_id, unnest([w[14], w[1]]), 0.5 FROM p
     UNION ALL SELECT doc_id, w[2] || ' ' || w[3], 0.6 FROM p)"""
 
@@ -75,7 +75,7 @@ def lexical_text(t: Tables):
 @query(
     "r03_embedding_text",
     f"""WITH {duck_canonical()} SELECT id, md5(concat_ws(' · ', title, 'presso ' || company, nullif(concat_ws(', ', city, region, country), ''),
-      nullif(work_mode, 'unknown'), job_family) || chr(10) || substr(description, 1, 4000)) AS digest FROM canon""",
+      nullif(work_mode, 'unknown'), job_family) || chr(10) || description) AS digest FROM canon""",
 )
 def embedding_text(t: Tables):
     rows = canonical(t)

@@ -181,14 +181,14 @@ def feed_arbeitnow(t: Tables):
     "s07_feed_jooble",
     duck_raw("jooble", {
         "external_id": "'p' || id", "title": "title", "company": "CASE WHEN id % 5 = 0 THEN 'Azienda non dichiarata' ELSE company END", "url": "url",
-        "description": "substr(description, 1, 120)", "location": "location", "country": "'IT'", "posted_at": _iso("posted_at"), "salary_text": "salary_text",
+        "description": "description", "location": "location", "country": "'IT'", "posted_at": _iso("posted_at"), "salary_text": "salary_text",
         "contract_hint": "nullif(contract_hint, '')", "publisher": "publisher",
     }),
 )
 def feed_jooble(t: Tables):
     entry = payload({
         "id": text_id(), "title": c("title"), "company": F.when(c("id") % 5 > 0, c("company")).otherwise(""), "link": c("url"),
-        "snippet": F.substring("description", 1, 120), "location": c("location"), "updated": F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSS"),
+        "snippet": c("description"), "location": c("location"), "updated": F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSS"),
         "salary": c("salary_text"), "type": c("contract_hint"), "source": c("publisher"),
     })
     return shown(feeds.jooble(view(t, "posting").select(entry.alias("payload"), F.lit("IT").alias("country"))))
@@ -373,12 +373,12 @@ _WANTED = sorted({w for k in _KEYWORDS for w in k.lower().split()} - set(fv.TITL
     with_views(
         "posting",
         body=f"SELECT id, len(list_filter({twin.array(_WANTED)}, lambda w: list_contains(t, w) OR (length(w) >= 4 AND len(list_filter(t, lambda x: starts_with(x, w))) > 0))) > 0 AS relevant "
-        "FROM (SELECT id, regexp_extract_all(lower(title || ' ' || split_part(description, ' ', 1)), '[a-z0-9+#]+') AS t FROM v_posting)",
+        "FROM (SELECT id, regexp_extract_all(lower(title || ' ' || description), '[a-z0-9+#]+') AS t FROM v_posting)",
     ),
 )
 def title_filter(t: Tables):
     keywords = F.array(*[F.lit(k) for k in _KEYWORDS])
-    relevant = raw.title_matches(c("title"), F.split_part(c("description"), F.lit(" "), F.lit(1)), keywords)
+    relevant = raw.title_matches(c("title"), c("description"), keywords)
     return view(t, "posting").select("id", relevant.alias("relevant"))
 
 

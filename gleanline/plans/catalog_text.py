@@ -348,7 +348,7 @@ _HOST = "regexp_extract(url, '^https?://([^/]+)', 1)"
 
 def _duck_label(x: str) -> str:
     k = f"regexp_replace(lower(trim({x})), '^www\\.', '')"
-    k = f"regexp_replace({k}, '\\.({'|'.join(fv.FEED_TLDS)})$', '')"
+    k = f"regexp_replace({k}, '{fv.FEED_DOMAIN_PATTERN}', '')"
     k = f"regexp_replace({k}, '[^a-z0-9]', '', 'g')"
     return f"coalesce({twin.case_map(fv.FEED_LABELS, k)}, trim({x}))"
 

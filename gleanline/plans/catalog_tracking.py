@@ -124,8 +124,8 @@ def _stub_classifier(prompt: str):
 
 @query("t06_classify")
 def classify(t: Tables):
-    """Replies are the conversation turns; the body is cut at 4000 characters."""
-    prompt = F.concat_ws("\n", F.lit("Testo:"), F.substring(text.strip(c("text")), 1, 4000))
+    """Replies are the conversation turns."""
+    prompt = F.concat_ws("\n", F.lit("Testo:"), text.strip(c("text")))
     prompts = t.conversations.select((c("conv_id") * 1000 + c("turn")).alias("id"), prompt.alias("prompt"))
     out = rubric.assess(prompts, _stub_classifier)
     return out.select("id", F.get_json_object("answer", "$.classification").alias("classification"), "error")

@@ -13,8 +13,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-_TEXT_TABLES = ("documents", "pages")
-
 
 class Tables:
     """The driver's parquet tables by attribute, read lazily with naive timestamps as instants."""
@@ -26,11 +24,6 @@ class Tables:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         naive = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)]
         df = df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
-        context = self.spark.sparkContext
-        if name in _TEXT_TABLES and context.master.startswith("local"):
-            # The test files hold one row group each, which one task would read and process alone.
-            # Files of a real table bring their own parallelism; filters and pruning pass through.
-            df = df.repartition(context.defaultParallelism)
         self.__dict__[name] = df
         return df
 

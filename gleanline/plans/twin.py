@@ -61,14 +61,13 @@ def first_match(rules, x: str) -> str:
 
 
 def tidy_title(x: str) -> str:
-    markers = "|".join(fv.GENDER_SUFFIXES)
-    bare = f"regexp_replace({x}, '(?i)\\s*[-–|(]?\\s*(?:{markers})\\s*\\)?\\s*$', '')"
+    bare = f"regexp_replace({x}, '(?i){fv.GENDER_SUFFIX_PATTERN}', '')"
     return f"trim({bare}, ' -–|')"
 
 
 def work_mode(title: str, location: str, remote: str, text: str) -> str:
     head = f"({title} || chr(10) || coalesce({location}, ''))"
-    opening = f"substr({text}, 1, 1500)"
+    opening = text
     return f"""CASE WHEN {matches(head, fv.HYBRID_PATTERN)} THEN 'hybrid'
       WHEN {remote} AND {matches(opening, fv.HYBRID_PATTERN)} THEN 'hybrid'
       WHEN {remote} THEN 'remote' WHEN {matches(head, fv.REMOTE_PATTERN)} THEN 'remote'
@@ -79,7 +78,7 @@ def work_mode(title: str, location: str, remote: str, text: str) -> str:
 
 def contract_type(hint: str, title: str, text: str) -> str:
     stated = f"(coalesce({hint}, '') || ' ' || {title})"
-    opening = f"substr({text}, 1, 800)"
+    opening = text
     return (
         f"coalesce({first_match(fv.CONTRACT_RULES, stated)}, "
         f"{first_match(fv.CONTRACT_RULES, opening)}, 'unknown')"
@@ -137,7 +136,7 @@ def stated_currency(text: str) -> str:
     arms = " ".join(
         f"WHEN contains({text}, {quote(s)}) THEN {quote(c)}" for s, c in fv.CURRENCY_SYMBOLS.items()
     )
-    codes = f"upper(regexp_extract({text}, '(?i)\\b({'|'.join(fv.CURRENCY_CODES)})\\b', 1))"
+    codes = f"upper(regexp_extract({text}, '(?i){fv.CURRENCY_CODE_PATTERN}', 1))"
     return f"CASE {arms} ELSE nullif({codes}, '') END"
 
 

@@ -70,7 +70,7 @@ FROM {{documents}} d LEFT JOIN {{labels}} l ON l.doc_id = d.doc_id
 # Near-copies sit in different sources of one language, so the language stands for the employer.
 LISTING = """
 SELECT doc_id AS id, source, lang AS company_normalized,
-  lang || '|' || substr(split_part(text, chr(10), 1), 1, 80) || '|' AS canonical_key,
+  lang || '|' || split_part(text, chr(10), 1) || '|' AS canonical_key,
   text AS description_clean, n_chars,
   CASE doc_id % 6 WHEN 1 THEN 'greenhouse' WHEN 3 THEN 'taleo' WHEN 5 THEN 'lever' ELSE 'unknown' END AS ats_type,
   doc_id % 3 = 0 AS salary_is_stated, CAST(20000 + doc_id % 1000 AS BIGINT) AS salary_min,

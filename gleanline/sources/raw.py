@@ -103,12 +103,13 @@ def cap_per_feed(postings: DataFrame, cap: int, arrival: str) -> DataFrame:
     return postings.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
 
 
-def search_keywords(headline: Column, roles: Column) -> Column:
-    """Headline and role families, then their synonyms; distinct, in order, at most six."""
+def search_keywords(headline: Column, roles: Column, most: int | None = None) -> Column:
+    """Headline and role families, then their synonyms; distinct, in order, the first `most` (e.g. MAX_KEYWORDS) of them."""
     families = F.array_compact(F.transform(roles, lambda r: F.lower(job_family(r))))
     english = F.array_distinct(F.concat(F.array_compact(F.array(F.nullif(F.lower(headline), F.lit("")))), families))
     italian = F.array_compact(F.transform(english, lambda k: lookup(fv.KEYWORD_SYNONYMS, k)))
-    return F.slice(F.array_distinct(F.concat(english, italian)), 1, fv.MAX_KEYWORDS)
+    found = F.array_distinct(F.concat(english, italian))
+    return found if most is None else F.slice(found, 1, most)
 
 
 # --- feed bookkeeping --------------------------------------------------------------------------
@@ -131,12 +132,13 @@ def share_duplicates(metrics: DataFrame, groups: Column) -> DataFrame:
     return metrics.withColumn("duplicate", share)
 
 
-def backfill_publisher(raw: Column, adapter: Column) -> Column:
-    """Publisher out of a stored payload; the key depends on the feed."""
+def backfill_publisher(raw: Column, adapter: Column, chars: int | None = None) -> Column:
+    """Publisher out of a stored payload; the key depends on the feed. `chars` (e.g. PUBLISHER_CHARS) shortens it."""
     def stated(key: str) -> Column:
         return F.nullif(F.trim(F.get_json_object(raw, f"$.{key}")), F.lit(""))
 
-    return F.substring(F.coalesce(stated("job_publisher"), F.when(adapter == "jooble", stated("source"))), 1, 120)
+    found = F.coalesce(stated("job_publisher"), F.when(adapter == "jooble", stated("source")))
+    return found if chars is None else F.substring(found, 1, chars)
 
 
 def sync_feeds(stored: DataFrame, known: DataFrame) -> DataFrame:

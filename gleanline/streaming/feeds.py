@@ -15,11 +15,16 @@ def stream_postings(spark: SparkSession, folder: str, max_files: int = 1000) ->
     return check(lines)
 
 
-def without_repeats(postings: DataFrame, time_column: str = "posted_at", horizon: str = "2 days") -> DataFrame:
-    """Drop repeats of (source, external_id) that arrive within the horizon; state is forgotten after it."""
-    return postings.withWatermark(time_column, horizon).dropDuplicatesWithinWatermark(["source", "external_id"])
+def without_repeats(postings: DataFrame, horizon: str = "2 days") -> DataFrame:
+    """Drop repeats of (source, external_id) that arrive within the horizon; state is forgotten after it.
+
+    The watermark follows the time of arrival. A posting's own date says nothing about when it lands: old or undated
+    ones are as new to the stream as others and are never late.
+    """
+    arrived = postings.withColumn("_arrived_at", F.current_timestamp()).withWatermark("_arrived_at", horizon)
+    return arrived.dropDuplicatesWithinWatermark(["source", "external_id"]).drop("_arrived_at")
 
 
 def normalised(postings: DataFrame) -> DataFrame:
     """The normalisation projection is stateless, so the stream uses the batch expression as it is."""
-    return normalise(postings.withColumn("posted_at", F.col("posted_at")))
+    return normalise(postings)
