@@ -123,21 +123,30 @@ def tidy_title(title: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """Decode numeric and named character references."""
+    """Decode numeric and named character references as HTML5 does.
+
+    Numbers 128 to 159 mean the characters of Windows code page 1252. Without a semicolon only the names that
+    HTML5 allows so are decoded, and of those the longest that fits.
+    """
+    ended, legacy = _entities()
+    open_name = "^(" + "|".join(sorted(legacy, key=lambda n: (-len(n), n))) + ")"
+    numeric = r"^#(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));?"
 
     def decode(piece: Column) -> Column:
-        name = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);?", 1)
-        rest = F.regexp_replace(
-            piece, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);?", ""
-        )
-        code = F.when(
-            name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10).cast("long")
-        ).when(name.startswith("#"), F.substring(name, 2, 7).cast("long"))
+        hexadecimal, decimal = (F.nullif(F.regexp_extract(piece, numeric, k), F.lit("")) for k in (1, 2))
+        code = F.coalesce(F.conv(hexadecimal, 16, 10), decimal).cast("long")
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = F.when(
-            valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        ).otherwise(lookup(_named_entities(), name))
-        return F.when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), piece))
+        written = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        char = F.when(code.between(128, 159), F.coalesce(lookup(_windows(), code.cast("string")), written)).when(valid, written)
+        name = F.nullif(F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]*);", 1), F.lit(""))
+        named = lookup(ended, name)
+        start = F.nullif(F.regexp_extract(piece, open_name, 1), F.lit(""))
+        return (
+            F.when(char.isNotNull(), F.concat(char, F.regexp_replace(piece, numeric, "")))
+            .when(named.isNotNull(), F.concat(named, F.substr(piece, F.length(name) + 2)))
+            .when(start.isNotNull(), F.concat(lookup(legacy, start), F.substr(piece, F.length(start) + 1)))
+            .otherwise(F.concat(F.lit("&"), piece))
+        )
 
     pieces = F.split(text, "&")
     decoded = F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(decode(p)))
@@ -145,9 +154,16 @@ def unescape(text: Column) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _named_entities() -> dict[str, str]:
-    names = {name: chr(code) for name, code in html.entities.name2codepoint.items()}
-    return {**names, "apos": "'"}
+def _entities() -> tuple[dict[str, str], dict[str, str]]:
+    """Names that a semicolon ends, and names that need none, with their characters."""
+    both = html.entities.html5
+    return {n[:-1]: c for n, c in both.items() if n.endswith(";")}, {n: c for n, c in both.items() if not n.endswith(";")}
+
+
+@lru_cache(maxsize=1)
+def _windows() -> dict[str, str]:
+    decoded = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
+    return {str(n): c for n, c in decoded.items() if c}
 
 
 def html_to_text(raw: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 
@@ -127,6 +128,19 @@ def requirements(assessment: Column) -> Column:
     )
 
 
+#: What ranking and scoring leave in the match table.
+RANKED = ("hybrid_score", "semantic_score", "keyword_score")
+SCORED = ("score", *[f"{c}_score" for c in CRITERIA], "rationale", "gaps", "scorer")
+
+
+def requirement_rows(scored: DataFrame) -> DataFrame:
+    """(job_id, position, kind, term) of a scored posting's requirements: must_have, nice_to_have and tech_stack."""
+    kinds = ("must_have", "nice_to_have", "tech_stack")
+    listed = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("terms")) for k in kinds])
+    rows = scored.select("job_id", F.inline(listed))
+    return rows.select("job_id", "kind", F.posexplode("terms").alias("position", "term"))
+
+
 def upsert_results(
     matches: DataFrame, rejected: DataFrame, ranked: DataFrame, scored: DataFrame, now: Column
 ) -> DataFrame:
@@ -134,14 +148,23 @@ def upsert_results(
 
     A rejection sets stage 0 and its reason but keeps an old score; a ranked posting sets its stage
     1 scores; a scored one sets everything. Each posting is in exactly one of the three inputs:
-    rejected(job_id, reason), ranked(job_id, hybrid), scored(job_id, hybrid, score, gaps).
+    rejected(job_id, reason), ranked(job_id, RANKED), scored(job_id, RANKED, SCORED). `matches` holds
+    the same columns; one that is missing anywhere counts as NULL there.
     """
+    kinds = {f.name: f.dataType for df in (matches, ranked, scored) for f in df.schema}
+
+    def completed(df: DataFrame, columns: tuple[str, ...]) -> list[Column]:
+        return [F.col(c) if c in df.columns else F.lit(None).cast(kinds.get(c, T.StringType())).alias(c) for c in columns]
+
+    outcome = (*RANKED, *SCORED)
     news = (
         rejected.select("job_id", "reason", F.lit(0).alias("stage"))
-        .unionByName(ranked.select("job_id", "hybrid", F.lit(1).alias("stage")), True)
-        .unionByName(scored.select("job_id", "hybrid", "score", "gaps", F.lit(2).alias("stage")), True)
-        .select("job_id", *[F.col(c).alias(f"new_{c}") for c in ("reason", "hybrid", "score", "gaps", "stage")])
+        .unionByName(ranked.select("job_id", *completed(ranked, RANKED), F.lit(1).alias("stage")), True)
+        .unionByName(scored.select("job_id", *completed(scored, outcome), F.lit(2).alias("stage")), True)
+        .select("job_id", *[F.col(c).alias(f"new_{c}") for c in ("reason", "stage", *outcome)])
     )
+    fixed = ("job_id", "status", "reached_stage", "filtered_reason", "scored_at")
+    matches = matches.select(*fixed, *completed(matches, outcome))
     both = matches.join(news, "job_id", "full")
     stage = F.col("new_stage")
     old_stage = F.coalesce("reached_stage", F.lit(0))
@@ -150,8 +173,8 @@ def upsert_results(
         F.coalesce("status", F.lit("new")).alias("status"),
         F.when(stage == 0, 0).when(stage == 1, F.greatest(old_stage, F.lit(1))).when(stage == 2, 2).otherwise(old_stage).alias("reached_stage"),
         F.when(stage == 0, F.col("new_reason")).when(stage.isNull(), F.col("filtered_reason")).alias("filtered_reason"),
-        F.when(stage >= 1, F.col("new_hybrid")).otherwise(F.col("hybrid_score")).alias("hybrid_score"),
-        F.when(stage == 2, F.col("new_score")).otherwise(F.col("score")).alias("score"),
+        *[F.when(stage >= 1, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in RANKED],
+        *[F.when(stage == 2, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in SCORED],
         F.when(stage == 2, now).otherwise(F.col("scored_at")).alias("scored_at"),
     )
 

@@ -359,28 +359,36 @@ def _stage_inputs(t: Tables):
     rows = cut_lineage(judged(t).select("id", "rejected", "score", "reached_stage"))
     matches = rows.where("id % 2 = 0").select(
         c("id").alias("job_id"), F.lit("seen").alias("status"), "reached_stage", F.lit("old").alias("filtered_reason"),
-        F.lit(0.25).alias("hybrid_score"), "score", F.lit("2024-01-01").cast("timestamp").alias("scored_at"),
+        F.lit(0.25).alias("hybrid_score"), F.lit("before").alias("rationale"), F.array(F.lit("old gap")).alias("gaps"), "score", F.lit("2024-01-01").cast("timestamp").alias("scored_at"),
     )
     fresh = rows.where("id % 3 > 0")
     rejected = fresh.where("rejected IS NOT NULL").select(c("id").alias("job_id"), filters.reason_text(c("rejected")).alias("reason"))
-    passed = fresh.where("rejected IS NULL").select(c("id").alias("job_id"), (c("id") % 100 / 100).alias("hybrid"))
-    scored = passed.where("job_id % 5 = 0").withColumns({"score": (c("job_id") % 101).cast("long"), "gaps": F.array(F.lit("x"))})
+    passed = fresh.where("rejected IS NULL").select(c("id").alias("job_id"), (c("id") % 100 / 100).alias("hybrid_score"), (c("id") % 7 / 7).alias("semantic_score"), (c("id") % 9 / 9).alias("keyword_score"))
+    scored = passed.where("job_id % 5 = 0").withColumns({
+        "score": (c("job_id") % 101).cast("long"), "gaps": F.array(F.lit("x"), c("job_id").cast("string")),
+        "rationale": F.concat(F.lit("because "), c("job_id").cast("string")), "scorer": F.lit("model"),
+        **{f"{n}_score": (c("job_id") % (k + 11)).cast("double") for k, n in enumerate(rubric.CRITERIA)},
+    })
     return matches, rejected, passed.where("job_id % 5 > 0"), scored
 
 
 @query(
     "g06_upsert_results",
-    f"""WITH {duck_judged()}, m AS (SELECT id AS job_id, 'seen' AS status, reached_stage, 'old' AS filtered_reason, 0.25 AS hybrid_score, score FROM judged WHERE id % 2 = 0),
+    f"""WITH {duck_judged()}, m AS (SELECT id AS job_id, 'seen' AS status, reached_stage, 'old' AS filtered_reason, 0.25 AS hybrid_score, 'before' AS rationale, score FROM judged WHERE id % 2 = 0),
       n AS (SELECT id AS job_id, CASE WHEN kind IS NOT NULL THEN 0 WHEN id % 5 > 0 THEN 1 ELSE 2 END AS stage, reason, id % 100 / 100 AS hybrid, id % 101 AS new_score FROM judged WHERE id % 3 > 0)
       SELECT coalesce(m.job_id, n.job_id) AS job_id, coalesce(status, 'new') AS status,
         CASE stage WHEN 0 THEN 0 WHEN 1 THEN greatest(coalesce(reached_stage, 0), 1) WHEN 2 THEN 2 ELSE reached_stage END AS reached_stage,
         CASE WHEN stage = 0 THEN reason WHEN stage IS NULL THEN filtered_reason END AS filtered_reason,
-        CAST(CASE WHEN stage >= 1 THEN hybrid ELSE hybrid_score END AS DOUBLE) AS hybrid_score, CASE WHEN stage = 2 THEN new_score ELSE score END AS score
+        CAST(CASE WHEN stage >= 1 THEN hybrid ELSE hybrid_score END AS DOUBLE) AS hybrid_score, CASE WHEN stage >= 1 THEN n.job_id % 7 / 7 END AS semantic_score,
+        CASE WHEN stage >= 1 THEN n.job_id % 9 / 9 END AS keyword_score, CASE WHEN stage = 2 THEN new_score ELSE score END AS score,
+        CASE WHEN stage = 2 THEN 'because ' || n.job_id ELSE rationale END AS rationale, CASE WHEN stage = 2 THEN 'model' END AS scorer,
+        CASE WHEN stage = 2 THEN 'x,' || n.job_id WHEN m.job_id IS NOT NULL THEN 'old gap' END AS gaps,
+        {', '.join(f'CASE WHEN stage = 2 THEN CAST(n.job_id % {k + 11} AS DOUBLE) END AS {n}_score' for k, n in enumerate(rubric.CRITERIA))}
       FROM m FULL JOIN n ON m.job_id = n.job_id""",
 )
 def upsert_results(t: Tables):
     out = rubric.upsert_results(*_stage_inputs(t), F.lit("2024-06-01").cast("timestamp"))
-    return out.drop("scored_at")
+    return out.drop("scored_at").withColumn("gaps", F.array_join("gaps", ","))
 
 
 def _scored(t: Tables):

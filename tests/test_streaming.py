@@ -26,6 +26,15 @@ def test_stream_of_postings_drops_repeats_and_sets_bad_lines_aside(spark, tmp_pa
     assert drain(bad, "quarantine").count() == 2
 
 
+def test_old_and_undated_postings_are_not_late(spark, tmp_path):
+    row = lambda i, at: json.dumps({"source": "s", "external_id": str(i), "title": "Dev", "company": "A", "url": "u", "posted_at": at})
+    for k, rows in enumerate([[row(1, "2024-03-01T00:00:00Z")], [row(2, "2024-03-02T00:00:00Z"), row(1, None)], [row(3, "2023-01-01T00:00:00Z"), row(4, None), row(3, None)]]):
+        (tmp_path / f"{k}.json").write_text("\n".join(rows))
+    valid, _ = feeds.stream_postings(spark, str(tmp_path), max_files=1)
+    kept = drain(feeds.without_repeats(valid), "late")
+    assert sorted(r.external_id for r in kept.collect()) == ["1", "2", "3", "4"]
+
+
 def test_stream_of_replies_equals_the_batch_fold(spark, tmp_path):
     rows = [(1, "submitted", "m1", 10, "ack"), (1, "submitted", "m2", 20, "rejection"), (1, "submitted", "m3", 30, "interview"), (2, "interview", "m4", 5, "ack"), (2, "interview", "m5", 6, "interview"), (3, "submitted", "m6", 1, "interview")]
     frame = spark.createDataFrame(rows, "application_id long, status string, message_id string, s long, classification string").withColumn("sent_at", F.timestamp_seconds("s")).drop("s")
