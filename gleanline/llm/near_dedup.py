@@ -236,34 +236,104 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     )
     links = copies.unionByName(_confirmed(docs, may, width, percent))
     parts = connected(links)
-    rest = store(_apart(members, parts, regs, m, percent).distinct())
+    rest = _rest(docs, members, reps, parts, width, percent)
     if rest.limit(1).count():
-        parts = connected(links.unionByName(_confirmed(docs, rest, width, percent)))
+        parts = connected(links.unionByName(rest))
     out = sketched.select("doc_id", "n_shingles").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     whole = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", whole.alias("component_id"), F.coalesce(whole == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _apart(members: DataFrame, parts: DataFrame, regs: DataFrame, m: int, percent: int, cell: int = 512) -> DataFrame:
-    """Candidate pairs (a, b) of a bucket whose ends are in different components so far.
+def _rest(docs: DataFrame, members: DataFrame, reps: DataFrame, parts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components of `parts` which still meet in a bucket.
 
-    Only buckets that hold several components take part. A bucket of more than `cell` rows is compared cell by
-    cell of a grid, so that no task holds it whole.
+    Buckets that hold several components are merged into clusters, in which each set occurs once. Clusters are compared
+    cell by cell of a grid with CELL sets to a side, so that no task holds a large one whole. A cell tests its pairs
+    as the joins do (common band, sizes, likelihood), confirms them on the full sets and returns a spanning forest of
+    the links found: no more rows than it has sets.
     """
     labelled = store(
-        members.select("key", "id", "n", "size").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        members.select("key", "id", "c").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     )
-    mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    rows = labelled.join(store(mixed_keys.select("key")), "key", "left_semi").join(regs.select("id", "regs"), "id")
-    grid = F.ceil(F.col("size") / cell).cast("int")
-    own = F.pmod(F.xxhash64("id"), grid).cast("int")
-    spread = store(rows.select("key", "id", "n", "component", "regs", own.alias("own"), F.sequence(F.lit(0), grid - 1).alias("other")))
-    left = spread.select("key", F.col("own").alias("i"), F.explode("other").alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "component", "regs")])
-    right = spread.select("key", F.explode("other").alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "component", "regs")])
-    test = (
-        (F.col("component_a") < F.col("component_b"))
-        & _close_sizes("n_a", "n_b", percent)
-        & likely(F.col("regs_a"), F.col("regs_b"), F.col("n_a"), F.col("n_b"), m, percent)
+    meeting = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    rows = store(labelled.join(store(meeting.select("key")), "key", "left_semi").select("id", "c", "component").distinct())
+    clusters = connected(rows.select(F.col("id").alias("a"), F.col("c").alias("b"))).withColumnRenamed("component", "cluster")
+    sizes = store(clusters.groupBy("cluster").agg(F.count("*").alias("size")))
+    sets = shingle_sets(docs.join(store(rows.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi"), width)
+    placed = store(
+        rows.select("id", "component").distinct()
+        .join(clusters, "id")
+        .join(reps.select("id", "n", "keys", "regs"), "id")
+        .join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id")
+        .where(F.size("shingles") == F.col("n"))
+        .join(sizes, "cluster")
     )
-    keys = [left[c] == right[c] for c in ("key", "i", "j")]
-    return left.join(right, [*keys, test]).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    grid = F.ceil(F.col("size") / CELL).cast("int")
+    placed = placed.select("*", F.pmod(F.xxhash64("id"), grid).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), grid - 1)).alias("other"))
+    cells = placed.select(
+        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        (F.col("own") > F.col("other")).alias("second"), "id", "component", "n", "keys", "regs", "shingles",
+    )
+    return store(cells.groupBy("cluster", "i", "j").applyInArrow(_cell(percent), "a long, b long"))
+
+
+#: Sets to a side of a cell.
+CELL = 256
+
+
+def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(n, -1)
+
+
+def likeliest_above(d_up: np.ndarray, d_down: np.ndarray, u: np.ndarray, v: np.ndarray, m: int, j: float) -> np.ndarray:
+    """`likely` for counts of larger and smaller registers."""
+    c = (BASE - 1) / BASE
+
+    def p(x: np.ndarray) -> np.ndarray:
+        return -np.log1p(-x * c) / math.log(BASE)
+
+    up, down = np.maximum(u - v * j, 1e-12), np.maximum(v - u * j, 1e-12)
+    gain_up, gain_down = (-v * c / math.log(BASE)) / (1 - up * c), (-u * c / math.log(BASE)) / (1 - down * c)
+    rest = np.maximum(1 - p(up) - p(down), 1e-12)
+    return d_up * gain_up / p(up) + d_down * gain_down / p(down) - (m - d_up - d_down) * (gain_up + gain_down) / rest > 0
+
+
+def _cell(percent: int):
+    m = bands(percent) * ROWS
+    target = percent / 100
+    floor = target - 4 * math.sqrt(target * (1 - target) / m)
+
+    def compare(table: pa.Table) -> pa.Table:
+        rows = table.num_rows
+        ids, part, n = (table[c].to_numpy() for c in ("id", "component", "n"))
+        keys, regs = _matrix(table["keys"], rows), _matrix(table["regs"], rows)
+        lists = table["shingles"].combine_chunks()
+        flat, cuts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(n)])
+        kinds, flat = np.unique(flat, return_inverse=True)
+        second = table["second"].to_numpy(zero_copy_only=False)
+        right = np.flatnonzero(second) if second.any() else np.arange(rows)
+        left = np.flatnonzero(~second)
+        label = np.unique(part, return_inverse=True)[1]
+        mark = np.zeros(len(kinds), bool)
+        found: list[tuple[int, int]] = []
+        for a in left:
+            b = right[label[right] != label[a]]
+            b = b[np.minimum(n[b], n[a]) * 100 >= np.maximum(n[b], n[a]) * percent]
+            b = b[(keys[b] == keys[a]).any(1)]
+            if not len(b):
+                continue
+            d_up, d_down = (regs[b] < regs[a]).sum(1), (regs[b] > regs[a]).sum(1)
+            total = n[a] + n[b]
+            b = b[likeliest_above(d_up, d_down, n[a] / total, n[b] / total, m, floor)]
+            mark[flat[cuts[a] : cuts[a + 1]]] = True
+            for k in b:
+                if label[k] == label[a]:
+                    continue
+                common = int(mark[flat[cuts[k] : cuts[k + 1]]].sum())
+                if common * 100 >= (n[a] + n[k] - common) * percent:
+                    found.append((int(ids[a]), int(ids[k])))
+                    label[label == label[k]] = label[a]
+            mark[flat[cuts[a] : cuts[a + 1]]] = False
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return compare
