@@ -140,7 +140,11 @@ def stability(examples: DataFrame) -> DataFrame:
 
 
 def current_fit(examples: DataFrame) -> DataFrame:
-    """(criterion, rho, mean_error): each criterion alone and the weighted total; none under 10 examples."""
+    """(criterion, rho, mean_error, best_rho, keep): each criterion alone and the weighted total; none under 10 examples.
+
+    On the total, `best_rho` is what the best weights of the grid reach; `keep` says that they gain less than
+    MIN_GAIN over the weights in force, which noise explains.
+    """
     sides = F.array(
         *[F.struct(F.lit(c).alias("criterion"), F.col(c).cast("double").alias("x")) for c in CRITERIA],
         F.struct(F.lit("total").alias("criterion"), _current_steps().alias("x")),
@@ -150,7 +154,13 @@ def current_fit(examples: DataFrame) -> DataFrame:
     error = examples.agg(
         (F.sum(F.col("n") * F.abs(current_prediction() - F.col("label"))) / F.sum("n")).alias("mean_error")
     ).withColumn("criterion", F.lit("total"))
-    return rho.where(F.col("examples") >= MIN_EXAMPLES).join(error, "criterion", "left").select("criterion", "rho", "mean_error")
+    best = best_weights(examples, []).select(F.lit("total").alias("criterion"), F.col("rho").alias("best_rho"))
+    return (
+        rho.where(F.col("examples") >= MIN_EXAMPLES)
+        .join(error, "criterion", "left")
+        .join(best, "criterion", "left")
+        .select("criterion", "rho", "mean_error", "best_rho", (F.round(F.col("best_rho") - F.col("rho"), 6) < MIN_GAIN).alias("keep"))
+    )
 
 
 def worst_errors(examples: DataFrame, n: int = 5) -> DataFrame:

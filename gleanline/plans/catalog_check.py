@@ -112,12 +112,13 @@ _SCORE = " + ".join(f"{n} * CAST({w} AS DOUBLE)" for n, w in fv.RUBRIC_WEIGHTS.i
 
 @query(
     "c06_current_fit",
-    f"WITH {_DUCK_EX}, ex2 AS (SELECT *, {_TOTAL} AS total FROM ex) SELECT criterion, round(rho, 6) AS rho, CASE WHEN criterion = 'total' THEN (SELECT round(avg(abs({_SCORE} - label)), 6) FROM ex) END AS mean_error "
-    "FROM (VALUES " + ", ".join(f"('{n}', {_duck_rho(n, 'ex2')})" for n in [*_CR, "total"]) + ") v(criterion, rho)",
+    f"WITH {_DUCK_EX}, {_GRID}, {_duck_best('ex')}, ex2 AS (SELECT *, {_TOTAL} AS total FROM ex) SELECT criterion, round(v.rho, 6) AS rho, CASE WHEN criterion = 'total' THEN (SELECT round(avg(abs({_SCORE} - label)), 6) FROM ex) END AS mean_error, "
+    "round(best.rho, 6) AS best_rho, round(best.rho - v.rho, 6) < 0.05 AS keep "
+    "FROM (VALUES " + ", ".join(f"('{n}', {_duck_rho(n, 'ex2')})" for n in [*_CR, "total"]) + ") v(criterion, rho) LEFT JOIN best ON criterion = 'total'",
 )
 def current_fit(t: Tables):
     out = calibrate.current_fit(calibrate.compress(examples(t)))
-    return out.select("criterion", F.round("rho", 6).alias("rho"), F.round("mean_error", 6).alias("mean_error"))
+    return out.select("criterion", *[F.round(n, 6).alias(n) for n in ("rho", "mean_error", "best_rho")], "keep")
 
 
 @query(
