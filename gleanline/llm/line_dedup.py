@@ -8,21 +8,28 @@ a word and pass the length and positional filters are compared in full. Equal se
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, forget, store
+from .shared import forget, store
 
 #: Rarity is known for so many hash buckets of words, whatever the size of the corpus.
 BUCKETS = 1 << 16
-HASH_BITS = 57
+HASH_BITS = 55
+
+
+def plain(text: Column) -> Column:
+    """Lower-cased text with blanks for all other ASCII white space but the ends of lines; most texts have none."""
+    low = F.lower(text)
+    odd = reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in "\t\r\x0b\x0c"])
+    return F.when(odd, F.regexp_replace(low, r"[\t\r\x0b\x0c]", " ")).otherwise(low)
 
 
 def words(line: Column) -> Column:
-    """Lower-cased words between ASCII white space."""
-    plain = F.translate(line, UPPER + "\t\x0b\x0c\r\n", LOWER + "     ")
-    return F.array_remove(F.split(plain, " "), "")
+    """Words of a line of `plain` text."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _bucket(hashed: Column) -> Column:
@@ -30,18 +37,19 @@ def _bucket(hashed: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Array with the rank of each bucket: the whole part of the binary logarithm of its occurrences in `docs`.
+    """Array with the rank of each bucket: four times the binary logarithm of its occurrences in `docs`, cut to a whole.
 
     The driver gets at most BUCKETS small numbers.
     """
     counted = (
-        docs.select(F.explode(words(F.col("text"))).alias("word"))
+        docs.select(F.explode(F.split(F.replace(plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+        .where("word <> ''")
         .groupBy(_bucket(F.xxhash64("word")).alias("bucket"))
         .agg(F.count("*").alias("n"))
     )
     ranks = [0] * BUCKETS
     for bucket, n in counted.collect():
-        ranks[bucket] = int(n).bit_length()
+        ranks[bucket] = int(4 * math.log2(n))
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
 
 
@@ -60,64 +68,92 @@ def _need(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100).cast("int")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def _signature(t: Column, half: int) -> Column:
+    """Half of 128 bits, each the parity of the words that hash to it: sets differ in at least as many words as in bits."""
+    one = F.lit(1).cast("long")
+
+    def put(acc: Column, x: Column) -> Column:
+        bit = F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))
+        return F.when(x.bitwiseAND(64) == 64 * half, acc.bitwiseXOR(bit)).otherwise(acc)
+
+    return F.aggregate(t, F.lit(0).cast("long"), put)
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, line_no) of every line that an earlier line matches; see `dedup_lines`."""
     ranks = rarity(docs)
+    prefix = F.slice("t", F.lit(1), F.col("n") - _need(F.col("n"), percent) + 1)
     lines = store(
-        _lines(docs)
+        docs.select("doc_id", F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line"))
+        .where(F.trim("line") != "")  # a test of the tokens would be pushed down and compute them twice
         .select("doc_id", "line_no", tokens(F.col("line"), ranks).alias("t"))
-        .select("doc_id", "line_no", F.size("t").alias("n"), F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), "t")
-        .where("n > 0")
-        .select("doc_id", "line_no", "n", "k1", "k2", F.slice("t", F.lit(1), F.col("n") - _need(F.col("n"), percent) + 1).alias("prefix"))
+        .select("doc_id", "line_no", F.size("t").alias("n"), "t")
+        .select(
+            "doc_id", "line_no", "n", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"),
+            _signature(F.col("t"), 0).alias("s1"), _signature(F.col("t"), 1).alias("s2"), prefix.alias("prefix"),
+        )
     )
     place = F.struct("doc_id", "line_no")
     firsts = store(
-        lines.groupBy("k1", "k2", "n").agg(F.min_by("prefix", place).alias("prefix"), F.min(place).alias("first"), F.count("*").alias("copies"))
+        lines.groupBy("k1", "k2", "n")
+        .agg(F.min(F.struct("doc_id", "line_no", "s1", "s2", "prefix")).alias("m"), F.count("*").alias("copies"))
+        .select("k1", "k2", "n", "copies", F.struct("m.doc_id", "m.line_no").alias("first"), "m.s1", "m.s2", "m.prefix")
     )
     copies = (
         lines.join(firsts.where("copies > 1").select("k1", "k2", "n", "first"), ["k1", "k2", "n"])
         .where(place != F.col("first"))
         .select("doc_id", "line_no")
     )
-    entries = firsts.select("first", "n", F.posexplode("prefix").alias("at", "token"))
-    a = entries.select("token", F.col("first").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    b = entries.select("token", F.col("first").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    entries = firsts.select(F.col("first").alias("set"), "n", "s1", "s2", F.posexplode("prefix").alias("at", "token"))
+    a, b = (entries.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("set", "n", "s1", "s2", "at")]) for side in "ab")
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    # A similarity of t needs this overlap; at most the words after the shared one can still be common, and before it
-    # at most as many as the shorter of both prefixes has.
+    # A similarity of t needs this overlap and leaves room for so many words that only one of the two has.
     overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent)).cast("int")
-    reachable = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    room = F.col("n_a") + F.col("n_b") - 2 * overlap
+    differ = sum(F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in ("s1", "s2"))
+    # The first common word: all before it are not common. In the smaller set it comes early, as the larger one has at
+    # least as many words and the overlap grows with both.
+    at_small = F.when(F.col("n_a") <= F.col("n_b"), F.col("at_a")).otherwise(F.col("at_b"))
+    early = at_small <= small - F.ceil(small * (2 * percent) / (100 + percent)).cast("int")
     pairs = store(
-        a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & (small * 100 >= large * percent) & (reachable >= overlap))
-        .select("a", "b")
-        .distinct()
+        a.join(
+            b,
+            (a["token"] == b["token"]) & (F.col("set_a") < F.col("set_b")) & (small * 100 >= large * percent)
+            & (F.col("at_a") + F.col("at_b") <= room) & early & (differ <= room),
+        )
+        .groupBy(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
+        .agg(F.count("*").alias("shared"))
     )
-    later = pairs.select("a", "b")
     sets = store(_sets(docs, pairs, ranks))
+    # One match is enough: each line is held first against the line with which it shares most, and only those that
+    # fail there against all others.
+    best = store(pairs.groupBy("b").agg(F.max_by("a", "shared").alias("a")))
+    found = store(_similar(best, sets, percent))
+    others = pairs.join(found, "b", "left_anti").join(best.withColumnRenamed("a", "tried"), "b").where("a <> tried")
+    similar = found.unionByName(_similar(others, sets, percent)).select("b.doc_id", "b.line_no").distinct()
+    out = store(copies.unionByName(similar))
+    for old in (lines, firsts, pairs, sets, best, found):
+        forget(old)
+    return out
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The later line `b` of the pairs whose full sets are similar enough."""
     common = F.size(F.array_intersect("t_a", "t_b"))
-    similar = (
-        later.join(sets.select(F.col("place").alias("a"), F.col("t").alias("t_a")), "a")
+    return (
+        pairs.join(sets.select(F.col("place").alias("a"), F.col("t").alias("t_a")), "a")
         .join(sets.select(F.col("place").alias("b"), F.col("t").alias("t_b")), "b")
         .where(common * 100 >= (F.size("t_a") + F.size("t_b") - common) * percent)
-        .select(F.col("b.doc_id"), F.col("b.line_no"))
-        .distinct()
+        .select("b")
     )
-    out = store(copies.unionByName(similar))
-    for old in (lines, firsts, pairs, sets):
-        forget(old)
-    return out
 
 
 def _sets(docs: DataFrame, pairs: DataFrame, ranks: Column) -> DataFrame:
     """place and token set of the lines in `pairs`."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct().select("place.doc_id", "place.line_no")
-    wanted = ends.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"))
+    ends = pairs.select(F.col("a").alias("place")).distinct().unionByName(pairs.select(F.col("b").alias("place")).distinct())
+    wanted = ends.select("place.doc_id", "place.line_no").distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"))
     some = docs.join(wanted, "doc_id").select(
-        "doc_id", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+        "doc_id", "wanted", F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line")
     )
     return some.where(F.array_contains("wanted", F.col("line_no"))).select(
         F.struct("doc_id", "line_no").alias("place"), tokens(F.col("line"), ranks).alias("t")
@@ -158,7 +194,7 @@ def oracle(percent: int = 80) -> str:
     return f"""
 WITH l AS (SELECT doc_id, i - 1 AS line_no, string_split(text, chr(10))[i] AS line
   FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
-w AS (SELECT doc_id, line_no, line, list_sort(list_distinct(list_filter(string_split_regex(translate(line, '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS t FROM l),
+w AS (SELECT doc_id, line_no, line, list_sort(list_distinct(list_filter(string_split_regex(lower(line), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS t FROM l),
 s AS (SELECT row_number() OVER (ORDER BY min(struct_pack(d := doc_id, l := line_no))) AS id, t, len(t) AS n, min(struct_pack(d := doc_id, l := line_no)) AS first FROM w WHERE len(t) > 0 GROUP BY t),
 e AS (SELECT id, n, unnest(t) AS token FROM s),
 p AS (SELECT y.id FROM e AS x JOIN e AS y ON x.token = y.token AND x.id < y.id AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}
