@@ -157,21 +157,19 @@ def versions(docs: DataFrame) -> DataFrame:
     Rows that share a doc_id follow each other in the order of their texts' hashes; rows without doc_id come last.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_digests(docs, "text", "own").withColumn("hash", F.xxhash64("text"))
-    rows = rows.withColumn("key", F.floor(F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))) / SPAN))
-    group = Window.partitionBy("key").orderBy(F.desc_nulls_last("doc_id"), "hash")
-    after = F.struct("text", "own")
-    rows = rows.withColumn("after", F.lead(after).over(group)).withColumn("place", F.row_number().over(group))
-    groups = store(following(docs.select(F.floor(F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))) / SPAN).alias("key")).distinct()))
-    largest = groups.agg(F.max("key").alias("top"))
-    # Only the last row of a group looks into another group, for its first row.
-    last = rows.where("after IS NULL").drop("after")
-    links = groups.join(largest).select("key", F.coalesce("after", "top").alias("lower"))
-    heads = rows.where("place = 1").select(F.col("key").alias("lower"), F.struct("text", "own").alias("after"))
-    ends = last.join(links, "key").join(heads, "lower")
-    paired = rows.where("after IS NOT NULL").select("doc_id", "text", "own", "after").unionByName(
-        ends.select("doc_id", "text", "own", "after")
-    )
+    key = F.floor(F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))) / SPAN)
+    rows = with_digests(docs, "text", "own").select("doc_id", "text", "own", key.alias("key"), F.xxhash64("text").alias("hash"))
+    order = [F.desc_nulls_last("doc_id"), F.asc("hash")]
+    groups = store(following(docs.select(key.alias("key")).distinct()))
+    top = groups.agg(F.max("key")).first()[0]
+    # The first row of each group is also the last of the group before it, so that texts cross the network once.
+    first = F.row_number().over(Window.partitionBy("key").orderBy(*order))
+    heads = store(rows.withColumn("place", first).where("place = 1").drop("place")).withColumnRenamed("key", "lower")
+    links = groups.select("key", F.coalesce("after", F.lit(top).cast("long")).alias("lower"))
+    copies = heads.join(links, "lower").select("doc_id", "text", "own", "key", "hash", F.lit(1).alias("copy"))
+    both = rows.withColumn("copy", F.lit(0)).unionByName(copies)
+    after = F.lead(F.struct("text", "own")).over(Window.partitionBy("key").orderBy("copy", *order))
+    paired = both.withColumn("after", after).where("copy = 0")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left("after.text", half))
