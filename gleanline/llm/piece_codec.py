@@ -12,6 +12,7 @@ than a blank before the text, and byte pieces for unknown characters; `Codec` ch
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -29,6 +30,8 @@ BLANK = "\u2581"
 
 #: Words whose ids a process keeps; it starts anew before there are more.
 WORDS_KEPT = 1 << 19
+#: Characters of new words whose suffixes are sorted together.
+BATCH_CHARS = 300_000
 
 
 def default_model() -> str:
@@ -220,11 +223,15 @@ class Codec:
         if len(self.known) + len(words) > WORDS_KEPT:
             self.forget_words()
         new = [w for w in words if w not in self.known]
-        if new:
-            token, count = self.encode_words(new)
+        stops = np.cumsum([len(w) for w in new]) if new else np.zeros(0, int)
+        start = 0
+        while start < len(new):  # batches of bounded size; a longer word is one of its own
+            stop = max(start + 1, int(np.searchsorted(stops, (stops[start - 1] if start else 0) + BATCH_CHARS, side="right")))
+            token, count = self.encode_words(new[start:stop])
             self.first = np.concatenate([self.first, len(self.token) + np.cumsum(count) - count])
             self.token, self.n_ids = np.concatenate([self.token, token.astype(np.int32)]), np.concatenate([self.n_ids, count])
-            self.known |= {w: len(self.known) + k for k, w in enumerate(new)}
+            self.known |= {w: len(self.known) + k for k, w in enumerate(new[start:stop])}
+            start = stop
         return np.fromiter((self.known[w] for w in words), np.int64, len(words))
 
     def decode(self, ids: list[int]) -> str:
@@ -299,13 +306,25 @@ def decoded(rows: DataFrame, model: str | None = None) -> DataFrame:
     )
 
 
-def codec_query(docs: DataFrame) -> DataFrame:
-    found = decoded(encoded(docs))
-    whole = F.coalesce(F.translate("text", BLANK, " "), F.lit(""))
-    return found.select(
-        "doc_id",
-        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"),
-        "ids_crc32",
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == whole).alias("round_trip"),
+def codec_query(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """Digests of `encoded` and then `decoded`, in one pass: doc_id, n_ids, ids_crc32, decoded_sha256, round_trip.
+
+    Both directions share a Python worker, so that texts and ids stay in it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(model or default_model())
+        for batch in batches:
+            for start, stop in slices(batch["text"], 2 << 20):
+                part = batch.slice(start, stop - start)
+                rows = []
+                for text, ids in zip(part["text"].to_pylist(), codec.encode(part["text"]).to_pylist(), strict=True):
+                    spelled = codec.decode(ids)
+                    digest = hashlib.sha256(spelled.encode()).hexdigest()
+                    rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), digest, spelled == (text or "").replace(BLANK, " ")))
+                columns = [pa.array(c) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
     )
