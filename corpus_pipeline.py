@@ -27,8 +27,11 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line go; a document goes when no line with a word is left of it."""
-    cleaned = line_dedup.dedup_lines(docs)
+    """Lines that match an earlier line go; a document goes when no line with a word is left of it.
+
+    Private keys are hidden before: a header that repeats another document's would go and leave the key's body unmarked.
+    """
+    cleaned = line_dedup.dedup_lines(secret_scan.masked(docs, (secret_scan.KEY,)))
     return _resized(cleaned.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs.columns)
 
 

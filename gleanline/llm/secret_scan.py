@@ -40,12 +40,20 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
+#: A private key: its header with all up to the END line, if no other line of five hyphens comes before; where END is
+#: missing, with the base64 lines that follow (of 16 characters or more, and a shorter last one). Both repetitions end at
+#: 400 lines, twice the length of a 16 384-bit RSA key: Java's regex recurses for each.
+KEY = Rule(
+    "key",
+    r"""-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,400}-{5,}END [A-Z ]*PRIVATE KEY-----"""
+    r"""|(?:\s+[A-Za-z0-9-]+: [^\n]*){0,9}(?:[\s\\"'>#,;*|]+[A-Za-z0-9+/=]{16,}){1,400}(?:\n[A-Za-z0-9+/]{1,15}={0,2}(?m:$))?)?""",
+)
 #: What the method adds.
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    KEY,
 )
 
 Clause = frozenset[frozenset[str]]
@@ -227,7 +235,7 @@ def _hidden(rule: Rule) -> Column:
 def masked(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """`docs` with every secret replaced by its rule's name in brackets, rule after rule; other columns stay.
 
-    The candidates come from the trigram index as in `secret_spans`; a null text stays null.
+    Keys go first: another rule that hides a part of a key's header would leave its body. The candidates come from the trigram index as in `secret_spans`; a null text stays null.
     """
     asked = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     indexed = {kind: q for kind, q in asked.items() if q}
@@ -236,7 +244,7 @@ def masked(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
         trigrams = sorted({t for q in indexed.values() for clause in q for alternative in clause for t in alternative})
         hits = store(candidates(trigram_index(docs, trigrams), indexed)).withColumnRenamed("doc_id", "hit")
         rows = rows.drop("kinds").join(hits, F.col("doc.doc_id").eqNullSafe(F.col("hit")), "left")
-    for rule in rules:
+    for rule in sorted(rules, key=lambda rule: rule != KEY):
         at = F.array_contains("kinds", rule.kind) if rule.kind in indexed else F.lit(True)
         rows = rows.withColumn("text", F.when(at & F.col("text").rlike(rule.pattern), _hidden(rule)).otherwise(F.col("text")))
     return rows.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])

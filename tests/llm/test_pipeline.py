@@ -46,6 +46,17 @@ def test_stages(spark, folder):
     assert ids(hidden) == ids(single) and hidden.where(F.col("text").contains("abcdef123")).count() == 0
 
 
+def test_keys_do_not_outlive_their_header(spark, folder):
+    rng = random.Random(4)
+    bodies = ["\n".join("".join(rng.choices("abcdefXYZ0123456789+/", k=64)) for _ in range(5)) for _ in range(2)]
+    key = "the text\n-----BEGIN RSA PRIVATE KEY-----\n{}\n-----END RSA PRIVATE KEY-----\nand more words {}"
+    data = [(k, key.format(b, k), "en", "s", 0) for k, b in enumerate(bodies)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)
+    left = stage["secret scans"](spark, stage["line dedup"](spark, docs, folder), folder)
+    assert not any(line in r.text for r in left.collect() for b in bodies for line in b.split("\n"))
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert set(out.columns) >= {"doc_id", "start", "length", "sequence_id", "offset"}
