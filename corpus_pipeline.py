@@ -19,9 +19,12 @@ def _resized(docs: DataFrame, columns: list[str]) -> DataFrame:
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without text, go; `lang` becomes the predicted language.
 
-    The model learns from the labelled languages of the same documents.
+    The model learns from the labelled languages of the same documents. Where none has a label, `lang` stays as it is.
+    Texts in none of the learned languages stay with the nearest one: the score does not tell them apart (see README).
     """
     model = language_id.learn(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")))
+    if not model.classes:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language_id.identify(docs, model).where(F.col("lang_pred") != language_id.UNKNOWN)
     return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 

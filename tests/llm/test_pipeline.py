@@ -57,6 +57,14 @@ def test_keys_do_not_outlive_their_header(spark, folder):
     assert not any(line in r.text for r in left.collect() for b in bodies for line in b.split("\n"))
 
 
+def test_unlabelled_documents_stay(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    known = dict(corpus_pipeline.STAGES)["language ID"](spark, docs, folder)
+    rows = known.select("doc_id", "lang").collect()
+    assert sorted(r.doc_id for r in rows) == [k for k in range(47) if k not in (43, 44)] and {r.lang for r in rows} == {None}
+    assert known.columns == docs.columns
+
+
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert set(out.columns) >= {"doc_id", "start", "length", "sequence_id", "offset"}
