@@ -383,3 +383,20 @@ def test_exchange_finds_classes():
     np.add.at(counts, (chain[:-1], chain[1:]), 1)
     label = class_lm.exchange(counts, 10, classes=2)
     assert len(set(label[:5])) == len(set(label[5:10])) == 1 and label[0] != label[9]
+
+
+def test_exchange_ends_when_no_move_is_left():
+    rng = np.random.default_rng(0)
+    counts = np.zeros((151, 151))
+    counts[:150, :150] = rng.poisson(rng.gamma(0.3, 2.0, (150, 150)))  # no classes in it: many rounds
+    label = class_lm.exchange(counts, 150, classes=12)
+
+    def likelihood(label):
+        one = np.eye(13)[label]
+        table = one.T @ counts @ one
+        return class_lm._xlogx(table).sum() - class_lm._xlogx(table.sum(0)).sum() - class_lm._xlogx(table.sum(1)).sum()
+
+    reached = likelihood(label)
+    for w in range(150):
+        for c in range(12):
+            assert likelihood([*label[:w], c, *label[w + 1 :]]) <= reached + 1e-3
