@@ -113,10 +113,11 @@ def query_terms(terms: DataFrame) -> DataFrame:
     )
 
 
-def bm25(documents: DataFrame, terms: DataFrame) -> DataFrame:
+def bm25(documents: DataFrame, terms: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(profile_id, id, keyword): score of every document that holds a term; the corpus is the batch.
 
-    Input: documents(id, body), terms(profile_id, term, weight). The text is read once: grams are
+    Input: documents(id, body), terms(profile_id, term, weight). `pairs`(profile_id, id) says which documents are in the
+    batch of each profile, and only they are scored; without it all documents are in the batch of every profile. The text is read once: grams are
     probed against the vocabulary while they are exploded, counted map-side, and only posting lists
     of query terms (plus one length row per document) reach the checkpoint everything else reads.
     """
@@ -130,9 +131,18 @@ def bm25(documents: DataFrame, terms: DataFrame) -> DataFrame:
     known = vocabulary.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("gram")))
     held = grams.join(known, "gram", "left_semi")
     postings = cut_lineage(held.groupBy("id", "length", "gram").agg(F.count("*").alias("tf")))
-    corpus = postings.where("gram = ''").agg(
-        F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0)).alias("avg_length")
-    )
+    sizes = F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0)).alias("avg_length")
+    if pairs is not None:
+        pairs = pairs.select("profile_id", "id").distinct()
+        batches = postings.where("gram = ''").join(pairs, "id").groupBy("profile_id").agg(*sizes)
+        lists = postings.where("gram <> ''").join(pairs, "id").join(wanted, ["profile_id", "gram"])
+        frequency = lists.groupBy("profile_id", "gram").agg(F.count("*").alias("df"))
+        idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        saturation = F.col("tf") + fv.BM25_K1 * (1 - fv.BM25_B + fv.BM25_B * F.col("length") / F.col("avg_length"))
+        part = F.col("weight") * idf * F.col("tf") * (fv.BM25_K1 + 1) / saturation
+        scored = lists.join(frequency, ["profile_id", "gram"]).join(batches, "profile_id")
+        return scored.groupBy("profile_id", "id").agg(F.sum(part).alias("keyword"))
+    corpus = postings.where("gram = ''").agg(*sizes)
     n = corpus.select("n").scalar()
     average = corpus.select("avg_length").scalar()
     lists = postings.where("gram <> ''")

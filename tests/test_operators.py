@@ -157,6 +157,22 @@ def test_bm25_invariants(spark):
     assert set(got) == {1, 2, 3} and all(v > 0 for v in got.values())
 
 
+def test_bm25_of_each_profile_is_that_of_its_batch(spark):
+    docs = spark.createDataFrame(
+        [(1, "java java spring"), (2, "python rest api"), (3, "java"), (4, ""), (5, "java python rest"), (6, "go")], "id long, body string"
+    )
+    terms = spark.createDataFrame([(p, t, w) for p in (0, 1, 2) for t, w in (("Java", 1.0), ("rest api", 0.6))], "profile_id long, term string, weight double")
+    batches = {0: [1, 2, 4], 1: [1, 3, 5, 6], 2: [4]}
+    pairs = spark.createDataFrame([(p, i) for p, ids in batches.items() for i in ids] + [(0, 1)], "profile_id long, id long")
+    got = {(r.profile_id, r.id): r.keyword for r in retrieve.bm25(docs, terms, pairs).collect()}
+    alone = {
+        (p, r.id): r.keyword
+        for p, ids in batches.items() for r in retrieve.bm25(docs.where(F.col("id").isin(ids)), terms.where(f"profile_id = {p}")).collect()
+    }
+    assert set(got) == set(alone) == {(0, 1), (0, 2), (1, 1), (1, 3), (1, 5)}
+    assert all(abs(got[k] - alone[k]) < 1e-12 for k in got) and got[0, 1] != got[1, 1]
+
+
 def test_spread_and_zero_vector(spark):
     flat = spark.createDataFrame([(0, 1, 0.7), (0, 2, 0.7)], "profile_id long, id long, s double")
     assert {r.o for r in retrieve.spread(flat, "s", "o").collect()} == {0.5}
