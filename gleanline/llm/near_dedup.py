@@ -4,14 +4,15 @@ A sketch holds `m` registers. Register i is the minimum of the i-th hash over th
 exponential variable of rate `RATE`, and kept as floor(1 - log_b(minimum)) within 0..`TOP`: exponentially spaced,
 truncated minima, which merge by maximum. Texts agree in a register with a probability close to their Jaccard
 similarity, so bands of registers find candidates. The three counts of registers (equal, larger, smaller) and the
-two set sizes give the joint likelihood of the similarity; pairs whose most likely similarity is far below the
-threshold go. The rest are confirmed on the full shingle sets.
+two set sizes give the joint likelihood of the similarity; pairs whose most likely similarity is so far below
+the threshold that a pair at the threshold is there with a probability of at most MISS go. The rest are confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -115,14 +116,13 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def likely(a: Column, b: Column, n_a: Column, n_b: Column, m: int, percent: int) -> Column:
-    """Whether the most likely similarity of two sketches is at most four standard errors below the threshold.
+    """Whether the most likely similarity of two sketches is above `lowest`.
 
     With shares u = n_a / (n_a + n_b) and v = n_b / (n_a + n_b) a register of the first text is larger with
     probability p(u - vJ), smaller with p(v - uJ), where p(x) = -log_b(1 - x (b - 1) / b). The log-likelihood is
     concave, so its maximum lies above J exactly where its derivative at J is positive.
     """
-    target = percent / 100
-    j = F.lit(target - 4 * math.sqrt(target * (1 - target) / m))
+    j = F.lit(lowest(percent, m))
     c = (BASE - 1) / BASE
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
     larger = F.size(F.filter(F.zip_with(a, b, lambda x, y: x > y), lambda x: x)).cast("double")
@@ -285,6 +285,34 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(n, -1)
 
 
+def outcomes(j: float, u: float, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of larger and of smaller registers and the probability of each, for texts of similarity j and shares u and 1 - u."""
+    c, v = (BASE - 1) / BASE, 1 - u
+    up, down = (-math.log1p(-max(x, 0.0) * c) / math.log(BASE) for x in (u - v * j, v - u * j))
+    larger, smaller = (x.ravel() for x in np.indices((m + 1, m + 1)))
+    larger, smaller = larger[larger + smaller <= m], smaller[larger + smaller <= m]
+    rest = m - larger - smaller
+    factorial = np.array([math.lgamma(k + 1) for k in range(m + 1)])
+    logs = factorial[m] - factorial[larger] - factorial[smaller] - factorial[rest]
+    for count, share in ((larger, up), (smaller, down), (rest, 1 - up - down)):
+        logs += count * math.log(max(share, 1e-300))
+    return larger, smaller, np.exp(logs)
+
+
+@lru_cache
+def lowest(percent: int, m: int) -> float:
+    """A similarity below which the most likely one of a pair at the threshold is with a probability of at most MISS.
+
+    The exact law of the three counts is summed for sizes from equal to as unlike as the threshold allows.
+    """
+    target = percent / 100
+    laws = [(u, *outcomes(target, u, m)) for u in (r / (1 + r) for r in np.linspace(target, 1, 9))]
+    j = target
+    while any(law[~likeliest_above(larger, smaller, u, 1 - u, m, j)].sum() > MISS for u, larger, smaller, law in laws):
+        j -= 0.005
+    return j
+
+
 def likeliest_above(d_up: np.ndarray, d_down: np.ndarray, u: np.ndarray, v: np.ndarray, m: int, j: float) -> np.ndarray:
     """`likely` for counts of larger and smaller registers."""
     c = (BASE - 1) / BASE
@@ -300,8 +328,7 @@ def likeliest_above(d_up: np.ndarray, d_down: np.ndarray, u: np.ndarray, v: np.n
 
 def _cell(percent: int):
     m = bands(percent) * ROWS
-    target = percent / 100
-    floor = target - 4 * math.sqrt(target * (1 - target) / m)
+    floor = lowest(percent, m)
 
     def compare(table: pa.Table) -> pa.Table:
         rows = table.num_rows
