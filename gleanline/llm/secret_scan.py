@@ -42,11 +42,13 @@ BASE = (
 )
 #: A private key: its header with all up to the END line, if no other line of five hyphens comes before; where END is
 #: missing, with the base64 lines that follow (of 16 characters or more, and a shorter last one). Both repetitions end at
-#: 400 lines, twice the length of a 16 384-bit RSA key: Java's regex recurses for each.
+#: 400 lines, twice the length of a 16 384-bit RSA key: Java's regex recurses for each. RE2 allows no counts within them.
 KEY = Rule(
     "key",
-    r"""-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,400}-{5,}END [A-Z ]*PRIVATE KEY-----"""
-    r"""|(?:\s+[A-Za-z0-9-]+: [^\n]*){0,9}(?:[\s\\"'>#,;*|]+[A-Za-z0-9+/=]{16,}){1,400}(?:\n[A-Za-z0-9+/]{1,15}={0,2}(?m:$))?)?""",
+    r"""-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-(?:-(?:--?)?)?[^-]+){0,400}-{5,}END [A-Z ]*PRIVATE KEY-----"""
+    r"""|(?:\s+[A-Za-z0-9-]+: [^\n]*){0,9}(?:[\s\\"'>#,;*|]+"""
+    + 15 * "[A-Za-z0-9+/=]"
+    + r"""[A-Za-z0-9+/=]+){1,400}(?:\n[A-Za-z0-9+/]{1,15}={0,2}(?m:$))?)?""",
 )
 #: What the method adds.
 MORE = (
