@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_lm, fingerprints, language_id, line_dedup, near_dedup, packing, piece_codec, quality_classifier, quality_rules, secret_scan
+from . import class_lm, fingerprints, hybrid_rank, language_id, line_dedup, near_dedup, packing, periodic_runs, piece_codec
+from . import quality_classifier, quality_rules, secret_scan, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +77,18 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_piece_codec")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return piece_codec.codec_query(table(spark, folder, "documents"))
+
+
+@query("op11_hybrid_rank", hybrid_rank.oracle())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return hybrid_rank.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.runs_query(table(spark, folder, "documents"))
