@@ -113,24 +113,31 @@ def query_terms(terms: DataFrame) -> DataFrame:
     )
 
 
-def bm25(documents: DataFrame, terms: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(profile_id, id, keyword): score of every document that holds a term; the corpus is the batch.
+def posting_lists(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, length, gram, tf) of the query terms, and one row with an empty gram for each document.
 
-    Input: documents(id, body), terms(profile_id, term, weight). `pairs`(profile_id, id) says which documents are in the
-    batch of each profile, and only they are scored; without it all documents are in the batch of every profile. The text is read once: grams are
-    probed against the vocabulary while they are exploded, counted map-side, and only posting lists
-    of query terms (plus one length row per document) reach the checkpoint everything else reads.
+    The text is read once: grams are probed against the vocabulary while they are exploded, counted map-side, and only
+    posting lists of query terms (plus one length row per document) reach the checkpoint everything else reads.
     """
-    wanted = query_terms(terms)
     vocabulary = wanted.select("gram").distinct()
     tokens = documents.select("id", tokenize(F.col("body")).alias("tokens"))
     grams = tokens.select(
         "id", F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit("")), ngrams(F.col("tokens")))).alias("gram")
     )
     # The empty gram stands for the document itself, so that documents without a hit still count.
-    known = vocabulary.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("gram")))
+    known = vocabulary.unionByName(wanted.sparkSession.range(1).select(F.lit("").alias("gram")))
     held = grams.join(known, "gram", "left_semi")
-    postings = cut_lineage(held.groupBy("id", "length", "gram").agg(F.count("*").alias("tf")))
+    return cut_lineage(held.groupBy("id", "length", "gram").agg(F.count("*").alias("tf")))
+
+
+def bm25(documents: DataFrame, terms: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(profile_id, id, keyword): score of every document that holds a term; the corpus is the batch.
+
+    Input: documents(id, body), terms(profile_id, term, weight). `pairs`(profile_id, id) says which documents are in the
+    batch of each profile, and only they are scored; without it all documents are in the batch of every profile.
+    """
+    wanted = query_terms(terms)
+    postings = posting_lists(documents, wanted)
     sizes = F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0)).alias("avg_length")
     if pairs is not None:
         pairs = pairs.select("profile_id", "id").distinct()

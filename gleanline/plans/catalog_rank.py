@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..operators import filters, retrieve, rubric
+from ..operators import filters, retrieve, rubric, vector_index
+from ..operators import shortlist as by_bound
 from ..session import cut_lineage
 from . import twin
 from .canonical import canonical, duck_canonical
@@ -134,6 +135,20 @@ def _duck_bm25(docs: str) -> str:
       FROM tf JOIN q USING (gram) JOIN df USING (gram) JOIN len_ USING (id), corpus GROUP BY 1, 2)"""
 
 
+def _duck_batch_bm25() -> str:
+    """CTEs up to kw for documents d(id, pid, body): the corpus of a profile is its own batch."""
+    parts = _duck_bm25("d")
+    shared = parts[: parts.index("corpus AS")]
+    return f"""{shared}
+    tf AS MATERIALIZED (SELECT id, gram, count(*) AS tf FROM {_duck_grams('d', 'id', 'body')} WHERE gram IN (SELECT gram FROM q) GROUP BY 1, 2),
+    len_ AS (SELECT id, pid AS profile_id, len({twin.terms('body')}) AS length FROM d),
+    corpus AS (SELECT profile_id, count(*) AS n, coalesce(nullif(avg(length), 0), 1) AS avg_length FROM len_ GROUP BY 1),
+    lists AS MATERIALIZED (SELECT profile_id, id, gram, tf, weight, length FROM tf JOIN len_ USING (id) JOIN q USING (profile_id, gram)),
+    df AS (SELECT profile_id, gram, count(*) AS df FROM lists GROUP BY 1, 2),
+    kw AS MATERIALIZED (SELECT profile_id, id, sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avg_length))) AS keyword
+      FROM lists JOIN df USING (profile_id, gram) JOIN corpus USING (profile_id) GROUP BY 1, 2)"""
+
+
 @query(
     "r06_bm25",
     f"WITH d AS (SELECT doc_id AS id, text AS body FROM documents), {_duck_bm25('d')} SELECT profile_id, id, round(keyword, 6) AS keyword FROM kw",
@@ -143,6 +158,17 @@ def bm25(t: Tables):
     return scores.select("profile_id", "id", F.round("keyword", 6).alias("keyword"))
 
 
+@query(
+    "r06_top_keyword",
+    f"""WITH d AS (SELECT doc_id AS id, text AS body FROM documents), {_duck_bm25('d')} SELECT profile_id, id, round(keyword, 6) AS keyword, place FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY round(keyword, 6) DESC, id) AS INT) AS place FROM kw) WHERE place <= 10""",
+)
+def top_keyword(t: Tables):
+    """The ten best documents of every profile, by bounds instead of scoring all that share a term."""
+    best = by_bound.top_keyword(t.documents.select(c("doc_id").alias("id"), c("text").alias("body")), item_terms(t), 10)
+    return best.select("profile_id", "id", F.round("keyword", 6).alias("keyword"), "place")
+
+
 def _stub_embedding(texts):
     """Stands in for a model: four counts per text."""
     return [[float(len(x)), float(x.count("a")), float(x.count("e")), 1.0] for x in texts]
@@ -177,6 +203,33 @@ def cosine(t: Tables):
     return similarities(t).select("vec_id", F.round("semantic", 6).alias("semantic"))
 
 
+# Vectors whose id is divisible by 50 ask, all vectors answer.
+
+
+def _indexed(t: Tables):
+    rows = t.embeddings.select(c("vec_id").alias("id"), c("embedding").alias("vector"))
+    queries = rows.where("id % 50 = 0")
+    index = vector_index.fit(rows)
+    return rows, queries, vector_index.search(vector_index.assign(rows, index), queries, index)
+
+
+@query("r08_vector_search")
+def vector_search(t: Tables):
+    """Ten neighbours of each query through the inverted file."""
+    return _indexed(t)[2].select("query_id", "id", F.round("semantic", 6).alias("semantic"), "place")
+
+
+@query(
+    "r08_index_recall",
+    "SELECT count(*) AS queries, CAST(count(*) * least(10, (SELECT count(*) - 1 FROM embeddings)) AS BIGINT) AS neighbours, true AS reached FROM embeddings WHERE vec_id % 50 = 0",
+)
+def index_recall(t: Tables):
+    """Whether the inverted file finds nine of ten true neighbours; `r08_vector_search` has its rows."""
+    rows, queries, found = _indexed(t)
+    measured = vector_index.recall(found, vector_index.exact(rows, queries))
+    return measured.select("queries", "neighbours", (c("recall") >= 0.9).alias("reached"))
+
+
 @query(
     "r09_spread",
     f"""WITH s AS (SELECT e.vec_id, e.label AS profile_id, {_DUCK_COS} AS semantic FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) z)
@@ -198,12 +251,12 @@ def ranked(t: Tables):
         c("doc_id").alias("id"), (c("doc_id") % items).alias("profile_id"), c("embedding").alias("vector"), c("text").alias("body"),
     )
     vectors = t.benchmark.join(t.embeddings, c("item_id") == c("vec_id")).select(c("item_id").alias("profile_id"), c("embedding").alias("profile_vector"))
-    keyword = retrieve.bm25(batch.select("id", "body"), item_terms(t))
+    keyword = retrieve.bm25(batch.select("id", "body"), item_terms(t), batch)
     return retrieve.rank(batch.drop("body"), vectors, keyword)
 
 
 _DUCK_RANKED = f"""d AS MATERIALIZED (SELECT doc_id AS id, doc_id % (SELECT count(*) FROM benchmark) AS pid, embedding, text AS body FROM documents JOIN embeddings ON vec_id = doc_id),
-  {_duck_bm25('d')},
+  {_duck_batch_bm25()},
   s AS MATERIALIZED (SELECT d.id, d.pid AS profile_id, {_COS.format(a='d.embedding', b='v.embedding')} AS semantic, coalesce(kw.keyword, 0) AS keyword
     FROM d JOIN embeddings v ON v.vec_id = d.pid LEFT JOIN kw ON kw.id = d.id AND kw.profile_id = d.pid),
   rk AS MATERIALIZED (SELECT id, profile_id, semantic, keyword, 0.6 * CASE WHEN h1 - l1 < 1e-9 THEN 0.5 ELSE (semantic - l1) / (h1 - l1) END + 0.4 * CASE WHEN h2 - l2 < 1e-9 THEN 0.5 ELSE (keyword - l2) / (h2 - l2) END AS hybrid,
@@ -255,6 +308,38 @@ def finalists(t: Tables):
     return retrieve.finalists(ranked(t), budgeted(t), top=8, reserved=2).select("profile_id", "id", "chosen_by")
 
 
+_METERED = "CAST(regexp_extract(source, '[0-9]+') AS INT) % 5 = 0"
+_DUCK_MANY = f"""d AS MATERIALIZED (SELECT doc_id AS id, embedding, text AS body, {_METERED} AS metered FROM documents JOIN embeddings ON vec_id = doc_id),
+  {_duck_bm25('d')},
+  s AS MATERIALIZED (SELECT d.id, item_id AS profile_id, metered, {_COS.format(a='d.embedding', b='v.embedding')} AS semantic, coalesce(kw.keyword, 0) AS keyword
+    FROM d, benchmark JOIN embeddings v ON v.vec_id = item_id LEFT JOIN kw ON kw.id = d.id AND kw.profile_id = item_id),
+  rk AS MATERIALIZED (SELECT id, profile_id, metered, 0.6 * CASE WHEN h1 - l1 < 1e-9 THEN 0.5 ELSE (semantic - l1) / (h1 - l1) END + 0.4 * CASE WHEN h2 - l2 < 1e-9 THEN 0.5 ELSE (keyword - l2) / (h2 - l2) END AS hybrid
+    FROM s JOIN (SELECT profile_id, min(semantic) AS l1, max(semantic) AS h1, min(keyword) AS l2, max(keyword) AS h2 FROM s GROUP BY 1) USING (profile_id)),
+  o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY hybrid DESC, id) AS rn FROM rk),
+  m AS MATERIALIZED (SELECT * FROM o JOIN (SELECT profile_id, bool_or(metered) AS any_metered FROM o GROUP BY 1) USING (profile_id) WHERE rn <= CASE WHEN any_metered THEN 6 ELSE 8 END)"""
+
+
+def many(t: Tables):
+    """Every benchmark item is a profile over all documents with a vector."""
+    metered = F.regexp_extract("source", "[0-9]+", 0).cast("int") % 5 == 0
+    docs = t.documents.join(t.embeddings, t.documents["doc_id"] == t.embeddings["vec_id"]).select(
+        c("doc_id").alias("id"), c("text").alias("body"), c("embedding").alias("vector"), metered.alias("metered")
+    )
+    owners = t.benchmark.join(t.embeddings, c("item_id") == c("vec_id")).select(c("item_id").alias("profile_id"), c("embedding").alias("profile_vector"))
+    return by_bound.ranked_by_bound(docs, owners, item_terms(t), 8)
+
+
+@query(
+    "r13_many_profiles",
+    f"""WITH {_DUCK_MANY} SELECT profile_id, id, round(hybrid, 6) AS hybrid, 'merit' AS chosen_by FROM m
+      UNION ALL SELECT profile_id, id, round(hybrid, 6), 'reserve' FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY rn) AS q FROM o ANTI JOIN m USING (profile_id, id) WHERE metered) WHERE q <= 2""",
+)
+def many_profiles(t: Tables):
+    rows, _ = many(t)
+    chosen = retrieve.finalists(rows, budgeted(t), top=8, reserved=2)
+    return chosen.select("profile_id", "id", F.round("hybrid", 6).alias("hybrid"), "chosen_by")
+
+
 @query(
     "r14_top_and_above",
     f"WITH v AS ({duck('posting')}) SELECT id, score, 'top' AS kind FROM (SELECT * FROM v ORDER BY score DESC NULLS LAST, id LIMIT 10) "

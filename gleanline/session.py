@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +59,14 @@ def evaluate_once(df: DataFrame) -> DataFrame:
     of a generator are not seen through, so each expression runs once per row, in the same stage.
     """
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
+def shared_folder(spark) -> str:
+    """A new path in the folder that `spark.checkpoint.dir` names; a temporary one only in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
