@@ -197,6 +197,11 @@ def _star(rows: DataFrame, keys: list[str], node: str) -> DataFrame:
     return rows.join(centre, keys).select(F.col(node).alias("src"), "dst").where("src <> dst")
 
 
+def has_key() -> Column:
+    """Whether a canonical key says anything: keys without employer and title are bars only."""
+    return F.coalesce(F.translate("canonical_key", "|", ""), F.lit("")) != ""
+
+
 def group_postings(postings: DataFrame) -> DataFrame:
     """(id, group_id): postings joined by equal key or by near-equal text of the same employer.
 
@@ -208,7 +213,7 @@ def group_postings(postings: DataFrame) -> DataFrame:
     base = cut_lineage(
         postings.select("id", "canonical_key", "company_normalized", "simhash", "chars")
     )
-    by_key = _star(base.where("canonical_key <> ''").select("id", "canonical_key"), ["canonical_key"], "id")
+    by_key = _star(base.where(has_key()).select("id", "canonical_key"), ["canonical_key"], "id")
     long_texts = base.where(
         (F.col("chars") >= fv.MIN_FINGERPRINT_CHARS) & (F.col("company_normalized") != "")
     ).select("id", F.col("company_normalized").alias("block"), "simhash")

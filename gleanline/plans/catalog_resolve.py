@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions import rules, text
-from ..operators import resolve
+from ..operators import kept, resolve
+from ..operators.snapshot import Snapshot
 from ..session import cut_lineage
 from . import twin
 from .catalog_text import duck_places
@@ -118,7 +119,7 @@ def same_content(t: Tables):
     return resolve.near_twins(prints)
 
 
-_EDGES = f"""e AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM l a JOIN l b ON a.id <> b.id AND a.canonical_key = b.canonical_key
+_EDGES = f"""e AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM l a JOIN l b ON a.id <> b.id AND a.canonical_key = b.canonical_key AND replace(a.canonical_key, '|', '') <> ''
   UNION SELECT a.id, b.id FROM l a JOIN l b ON a.id <> b.id AND a.company_normalized = b.company_normalized
     AND a.chars >= 300 AND b.chars >= 300 AND {_SAME}),
   r(id, g) AS (SELECT id, id FROM l UNION SELECT r.id, e.y FROM r JOIN e ON e.x = r.g),
@@ -135,6 +136,16 @@ def groups(t: Tables):
     return resolve.group_postings(listing(t))
 
 
+@query("d05_groups_by_day", _ctes(duck_prints(), _V, _L, _EDGES) + "SELECT id, group_id FROM grouped")
+def groups_by_day(t: Tables):
+    """The same groups from three daily batches, each worked on with what was kept from the days before."""
+    rows = listing(t)
+    state = kept.Groups.start(t.spark)
+    for day in range(3):
+        state = state.add_day(rows.where(c("id") % 3 == day))
+    return state.parents.select("id", c("root").alias("group_id"))
+
+
 _TIER = "CASE WHEN ats_type IN ('greenhouse', 'lever', 'ashby', 'workable') THEN 2 WHEN ats_type <> 'unknown' THEN 1 ELSE 0 END"
 _M = "m AS MATERIALIZED (SELECT l.*, group_id, " + _TIER + " AS tier FROM l JOIN grouped USING (id))"
 
@@ -210,6 +221,42 @@ def match_stored(t: Tables):
     return resolve.match_stored(incoming, stored)
 
 
+_TWO_DAYS = f"""s AS MATERIALIZED (SELECT *, id % 5 <> 0 AS is_active FROM l WHERE id % 2 = 0), i AS MATERIALIZED (SELECT * FROM l WHERE id % 4 = 1),
+  {_MATCHED[_MATCHED.index('bykey AS'):]},
+  s2 AS MATERIALIZED (SELECT * FROM s UNION ALL SELECT i.*, true FROM i JOIN matched USING (id) WHERE stored_id IS NULL), i2 AS MATERIALIZED (SELECT * FROM l WHERE id % 4 = 3),
+  bykey2 AS MATERIALIZED (SELECT a.id, min(b.id) AS key_id FROM i2 a JOIN s2 b USING (canonical_key) GROUP BY 1),
+  near2 AS MATERIALIZED (SELECT a.id, b.id AS near_id FROM i2 a JOIN s2 b ON a.company_normalized = b.company_normalized AND b.is_active AND a.chars >= 300 AND {_SAME}
+    QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY bit_count(xor(a.simhash, b.simhash)), b.id) = 1)"""
+
+
+@query(
+    "d09_match_two_days",
+    _ctes(duck_prints(), _V, _L, _TWO_DAYS)
+    + """SELECT id, stored_id, matched_by, 1 AS day FROM matched
+    UNION ALL SELECT i2.id, coalesce(key_id, near_id), CASE WHEN key_id IS NOT NULL THEN 'key' WHEN near_id IS NOT NULL THEN 'content' ELSE 'new' END, 2
+      FROM i2 LEFT JOIN bykey2 USING (id) LEFT JOIN near2 USING (id)""",
+)
+def match_two_days(t: Tables):
+    """Two days against the store: the second also finds what the first one added."""
+    rows = listing(t)
+    stored = rows.where("id % 2 = 0").withColumn("is_active", c("id") % 5 != 0)
+    index = kept.PrintIndex(t.spark)
+    index.add(stored.select(c("company_normalized").alias("block"), "simhash", "id"))
+    keys = cut_lineage(stored.groupBy("canonical_key").agg(F.min("id").alias("id")))
+    active = cut_lineage(stored.where("is_active").select("id"))
+    days = []
+    for day in (1, 2):
+        batch = rows.where(c("id") % 4 == 2 * day - 1)
+        found = cut_lineage(kept.match_kept(batch, keys, active, index))
+        new = batch.join(found.where("stored_id IS NULL").select("id"), "id", "left_semi")
+        index.add(new.select(c("company_normalized").alias("block"), "simhash", "id"))
+        added = new.groupBy("canonical_key").agg(F.min("id").alias("id"))
+        keys = cut_lineage(keys.unionByName(added))  # a key that was kept has no new rows
+        active = cut_lineage(active.unionByName(new.select("id")))
+        days.append(found.withColumn("day", F.lit(day)))
+    return days[0].unionByName(days[1])
+
+
 @query(
     "d10_insert_new",
     _ctes(duck_prints(), _V, _L, _MATCHED)
@@ -276,19 +323,18 @@ def reclassify(t: Tables):
 _LINKS = """SELECT id, source, external_id, id AS job_id, url, publisher, CASE WHEN id % 4 = 0 THEN '{"v":1}' END AS raw FROM {p}"""
 
 
-@query(
-    "d13_upsert_links",
-    with_views(
-        "posting",
-        body=f""", a AS ({_LINKS.replace('{p}', 'v_posting')}), o AS (SELECT * FROM a WHERE id % 2 = 0), n AS (SELECT * FROM a WHERE id % 3 > 0)
+_UPSERTED = with_views(
+    "posting",
+    body=f""", a AS ({_LINKS.replace('{p}', 'v_posting')}), o AS (SELECT * FROM a WHERE id % 2 = 0), n AS (SELECT * FROM a WHERE id % 3 > 0)
       SELECT coalesce(o.source, n.source) AS source, coalesce(o.external_id, n.external_id) AS external_id,
         coalesce(n.job_id + 1, o.job_id) AS job_id, coalesce(n.url || '?new', o.url) AS url,
         CASE WHEN n.id IS NULL THEN '2024-01-01' ELSE '2024-06-01' END AS fetched_at,
         coalesce(CASE WHEN n.id % 5 > 0 THEN n.publisher END, o.publisher) AS publisher, coalesce(o.raw, n.raw) AS raw
       FROM o FULL JOIN n ON o.source = n.source AND o.external_id = n.external_id""",
-    ),
 )
-def upsert_links(t: Tables):
+
+
+def _links(t: Tables):
     rows = view(t, "posting").select(
         "id", "source", "external_id", c("id").alias("job_id"), "url", "publisher",
         F.when(c("id") % 4 == 0, '{"v":1}').alias("raw"),
@@ -298,8 +344,38 @@ def upsert_links(t: Tables):
         "source", "external_id", (c("job_id") + 1).alias("job_id"), F.concat("url", F.lit("?new")).alias("url"),
         F.when(c("id") % 5 > 0, c("publisher")).alias("publisher"), "raw",
     )
-    out = resolve.upsert_links(old, seen, now())
-    return out.select("source", "external_id", "job_id", "url", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_at"), "publisher", "raw")
+    return old.drop("id"), seen
+
+
+def _link_columns(rows):
+    return rows.select("source", "external_id", "job_id", "url", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_at"), "publisher", "raw")
+
+
+@query("d13_upsert_links", _UPSERTED)
+def upsert_links(t: Tables):
+    old, seen = _links(t)
+    return _link_columns(resolve.upsert_links(old, seen, now()))
+
+
+def _kept_links(t: Tables):
+    old, seen = _links(t)
+    table = Snapshot(old, ["source", "external_id"], buckets=16)
+    return table, table.update(seen, lambda rows, news: resolve.upsert_links(rows, news, now()))
+
+
+@query("d13_kept_links", _UPSERTED)
+def kept_links(t: Tables):
+    """The same rows from a table in files by bucket."""
+    return _link_columns(_kept_links(t)[0].read())
+
+
+@query(
+    "d13_link_changes",
+    with_views("posting", body="SELECT source, external_id, CASE WHEN id % 2 = 0 THEN 'update' ELSE 'insert' END AS change FROM v_posting WHERE id % 3 > 0"),
+)
+def link_changes(t: Tables):
+    """The change log of that update."""
+    return _kept_links(t)[1].select("source", "external_id", "change")
 
 
 @query(
