@@ -39,13 +39,14 @@ UNKNOWN = "und"
 
 def machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 150) -> np.ndarray:
     """Weights (the last is the bias) that separate y = 1 from y = -1: squared hinge loss, accelerated gradient."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = v = np.zeros(x.shape[1])
-    step = 0.5 / (penalty + (weight * (x.astype(np.float64) ** 2).sum(1)).sum())
+    w = v = np.zeros(x.shape[1] + 1)
+    step = 0.5 / (penalty + (weight * (np.einsum("ij,ij->i", x, x) + 1)).sum())
     for k in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - step * (penalty * v - 2 * (x.T @ (weight * slack * y)))
+        # products stay in the type of `x`, which a wider vector would copy
+        slack = np.maximum(0, 1 - y * (x @ v[:-1].astype(x.dtype) + v[-1]))
+        pull = weight * slack * y
+        new = v - step * (penalty * v - 2 * np.append(pull.astype(x.dtype) @ x, pull.sum()))
         v, w = new + k / (k + 3) * (new - w), new
     return w
 
@@ -109,13 +110,16 @@ def learn(docs: DataFrame, rows: int = LEARN_ROWS) -> Model:
 
     read = chosen.select("lang", "doc_id", "text").mapInArrow(vectors, "lang string, doc_id long, v binary").toArrow()
     read = read.sort_by([("lang", "ascending"), ("doc_id", "ascending")])
-    x = np.frombuffer(b"".join(read["v"].to_pylist()), np.float32).reshape(-1, FEATURES.width)
     lang = np.array(read["lang"].to_pylist(), object)
+    x = np.empty((len(lang), FEATURES.width), np.float32)
+    for i, v in enumerate(read["v"]):
+        x[i] = np.frombuffer(v.as_buffer(), np.float32)
+    del read
     full = x.any(1)
-    x, lang = x[full], lang[full]
-    scale = 1 / (x.std(0) + 1e-4)
-    x = x * scale / np.sqrt(x.shape[1])
-    scale = scale / np.sqrt(x.shape[1])
+    if not full.all():
+        x, lang = x[full], lang[full]
+    scale = (1 / ((x.std(0) + 1e-4) * np.float32(FEATURES.width**0.5))).astype(np.float32)
+    x *= scale
     classes = sorted(set(lang))
     family = np.array([FAMILY.get(c, c) for c in lang], object)
     duels = [(family, a, b) for a, b in combinations(sorted(set(family)), 2)]

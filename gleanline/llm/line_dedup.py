@@ -1,8 +1,12 @@
 """Line dedup as an exact set-similarity join; DataFrame functions only.
 
-A line is the set of its words. Words are ordered by rarity over the whole corpus, so that two sets with a Jaccard
-similarity of at least t, the larger of n words, share one of the first n - ceil(t n) + 1 words. Lines that share such
-a word and pass the length and positional filters are compared in full. Equal sets collapse first.
+A line is the set of its words. Words are ordered by rarity over the whole corpus. Two sets with a Jaccard similarity
+of at least t, the larger of n and the smaller of m words, have their first common word among the first
+n - ceil(t n) + 1 of the larger and the first m - ceil(2 t m / (1 + t)) + 1 of the smaller. Lines that share such a word
+and pass the length and positional filters are compared in full. Equal sets collapse first.
+
+One match is enough for a line to go. So each set is first held against the earliest holders of two of its words; in a
+group of like lines that settles nearly all, and only pairs whose later line is still open come out of the full join.
 """
 
 from __future__ import annotations
@@ -55,84 +59,101 @@ def rarity(docs: DataFrame) -> Column:
 
 def tokens(line: Column, ranks: Column) -> Column:
     """The distinct words of a line as numbers that sort by rarity: rank above, hash below."""
-    hashed = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
     mask = F.lit((1 << HASH_BITS) - 1)
-    ranked = F.transform(
-        hashed, lambda h: F.shiftleft(F.element_at(ranks, _bucket(h) + 1).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(mask))
-    )
-    return F.sort_array(ranked)
 
+    def ranked(w: Column) -> Column:
+        h = F.xxhash64(w)
+        return F.shiftleft(F.element_at(ranks, _bucket(h) + 1).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(mask))
+
+    return F.sort_array(F.array_distinct(F.transform(words(line), ranked)))
+
+
+def _probed(n: Column, percent: int) -> Column:
+    """Words of the larger set among which the first common one is."""
+    return n - F.ceil(n * percent / 100).cast("int") + 1
 
-def _need(n: Column, percent: int) -> Column:
-    """Whole part of t n, rounded up."""
-    return F.ceil(n * percent / 100).cast("int")
 
+def _indexed(n: Column, percent: int) -> Column:
+    """Words of the smaller set among which the first common one is."""
+    return n - F.ceil(n * (2 * percent) / (100 + percent)).cast("int") + 1
 
-def _signature(t: Column, half: int) -> Column:
-    """Half of 128 bits, each the parity of the words that hash to it: sets differ in at least as many words as in bits."""
+
+def _signature(t: Column) -> Column:
+    """64 bits, each the parity of the words that hash to it: sets differ in at least as many words as in bits."""
     one = F.lit(1).cast("long")
+    return F.aggregate(
+        t, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int")))
+    )
+
+
+def _room(n_a: Column, n_b: Column, percent: int) -> Column:
+    """Words that only one of two similar sets can have."""
+    return n_a + n_b - 2 * F.ceil((n_a + n_b) * percent / (100 + percent)).cast("int")
 
-    def put(acc: Column, x: Column) -> Column:
-        bit = F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))
-        return F.when(x.bitwiseAND(64) == 64 * half, acc.bitwiseXOR(bit)).otherwise(acc)
 
-    return F.aggregate(t, F.lit(0).cast("long"), put)
+def _alike(percent: int) -> Column:
+    """What sizes and signatures of sets a and b allow."""
+    a, b = F.col("n_a"), F.col("n_b")
+    long_enough = F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    return long_enough & (F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) <= _room(a, b, percent))
+
+
+def _side(entries: DataFrame, side: str, *more: str) -> DataFrame:
+    return entries.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("set", "n", "s", *more)])
+
+
+def _star_matches(sets: DataFrame, percent: int) -> DataFrame:
+    """set of every set that the earliest holder of one of its middle or last probed words matches."""
+    held = sets.select("set", "n", "s", F.explode(F.slice("t", F.lit(1), _indexed(F.col("n"), percent))).alias("token"))
+    earliest = held.groupBy("token").agg(F.min(F.struct("set", "n", "s")).alias("m")).select("token", "m.*")
+    last = _probed(F.col("n"), percent)
+    two = F.array_distinct(F.array(F.element_at("t", F.ceil(last / 2).cast("int")), F.element_at("t", last)))
+    asked = sets.select("set", "n", "s", F.explode(two).alias("token"))
+    met = _side(earliest, "a").join(_side(asked, "b"), "token").where((F.col("set_a") < F.col("set_b")) & _alike(percent))
+    return store(_similar(met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct(), sets, percent))
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, line_no) of every line that an earlier line matches; see `dedup_lines`."""
     ranks = rarity(docs)
-    prefix = F.slice("t", F.lit(1), F.col("n") - _need(F.col("n"), percent) + 1)
     lines = store(
         docs.select("doc_id", F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line"))
         .where(F.trim("line") != "")  # a test of the tokens would be pushed down and compute them twice
         .select("doc_id", "line_no", tokens(F.col("line"), ranks).alias("t"))
-        .select("doc_id", "line_no", F.size("t").alias("n"), "t")
-        .select(
-            "doc_id", "line_no", "n", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"),
-            _signature(F.col("t"), 0).alias("s1"), _signature(F.col("t"), 1).alias("s2"), prefix.alias("prefix"),
-        )
+        .select("doc_id", "line_no", F.size("t").alias("n"), F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), "t")
     )
     place = F.struct("doc_id", "line_no")
     firsts = store(
         lines.groupBy("k1", "k2", "n")
-        .agg(F.min(F.struct("doc_id", "line_no", "s1", "s2", "prefix")).alias("m"), F.count("*").alias("copies"))
-        .select("k1", "k2", "n", "copies", F.struct("m.doc_id", "m.line_no").alias("first"), "m.s1", "m.s2", "m.prefix")
+        .agg(F.min(F.struct("doc_id", "line_no", "t")).alias("m"), F.count("*").alias("copies"))
+        .select("k1", "k2", "n", "copies", F.struct("m.doc_id", "m.line_no").alias("set"), _signature(F.col("m.t")).alias("s"), "m.t")
     )
     copies = (
-        lines.join(firsts.where("copies > 1").select("k1", "k2", "n", "first"), ["k1", "k2", "n"])
-        .where(place != F.col("first"))
+        lines.join(firsts.where("copies > 1").select("k1", "k2", "n", "set"), ["k1", "k2", "n"])
+        .where(place != F.col("set"))
         .select("doc_id", "line_no")
     )
-    entries = firsts.select(F.col("first").alias("set"), "n", "s1", "s2", F.posexplode("prefix").alias("at", "token"))
-    a, b = (entries.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("set", "n", "s1", "s2", "at")]) for side in "ab")
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    # A similarity of t needs this overlap and leaves room for so many words that only one of the two has.
-    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent)).cast("int")
-    room = F.col("n_a") + F.col("n_b") - 2 * overlap
-    differ = sum(F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in ("s1", "s2"))
-    # The first common word: all before it are not common. In the smaller set it comes early, as the larger one has at
-    # least as many words and the overlap grows with both.
-    at_small = F.when(F.col("n_a") <= F.col("n_b"), F.col("at_a")).otherwise(F.col("at_b"))
-    early = at_small <= small - F.ceil(small * (2 * percent) / (100 + percent)).cast("int")
+    sets = firsts.select("set", "n", "s", "t")
+    settled = _star_matches(sets, percent)
+    flagged = sets.join(settled.select(F.col("b").alias("set"), F.lit(True).alias("gone")).distinct(), "set", "left")
+    flagged = flagged.select("set", "n", "s", F.coalesce("gone", F.lit(False)).alias("gone"), "t")
+    small = flagged.select("set", "n", "s", "gone", F.posexplode(F.slice("t", F.lit(1), _indexed(F.col("n"), percent))).alias("at", "token"))
+    large = flagged.select("set", "n", "s", "gone", F.posexplode(F.slice("t", F.lit(1), _probed(F.col("n"), percent))).alias("at", "token"))
+    # Of sets of one size the earlier is taken for the smaller.
+    roles = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("set_a") < F.col("set_b")))
+    early = F.col("at_a") + F.col("at_b") <= _room(F.col("n_a"), F.col("n_b"), percent)
+    later_open = ~F.when(F.col("set_a") < F.col("set_b"), F.col("gone_b")).otherwise(F.col("gone_a"))
+    met = _side(small, "a", "gone", "at").join(_side(large, "b", "gone", "at"), "token").where(roles & later_open & early & _alike(percent))
     pairs = store(
-        a.join(
-            b,
-            (a["token"] == b["token"]) & (F.col("set_a") < F.col("set_b")) & (small * 100 >= large * percent)
-            & (F.col("at_a") + F.col("at_b") <= room) & early & (differ <= room),
-        )
-        .groupBy(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
-        .agg(F.count("*").alias("shared"))
+        met.groupBy(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).agg(F.count("*").alias("shared"))
     )
-    sets = store(_sets(docs, pairs, ranks))
-    # One match is enough: each line is held first against the line with which it shares most, and only those that
-    # fail there against all others.
+    # Each line is held first against the line with which it shares most, and only those that fail there against all others.
     best = store(pairs.groupBy("b").agg(F.max_by("a", "shared").alias("a")))
     found = store(_similar(best, sets, percent))
     others = pairs.join(found, "b", "left_anti").join(best.withColumnRenamed("a", "tried"), "b").where("a <> tried")
-    similar = found.unionByName(_similar(others, sets, percent)).select("b.doc_id", "b.line_no").distinct()
+    similar = settled.unionByName(found).unionByName(_similar(others, sets, percent)).select("b.doc_id", "b.line_no").distinct()
     out = store(copies.unionByName(similar))
-    for old in (lines, firsts, pairs, sets, best, found):
+    for old in (lines, firsts, settled, pairs, best, found):
         forget(old)
     return out
 
@@ -141,25 +162,13 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The later line `b` of the pairs whose full sets are similar enough."""
     common = F.size(F.array_intersect("t_a", "t_b"))
     return (
-        pairs.join(sets.select(F.col("place").alias("a"), F.col("t").alias("t_a")), "a")
-        .join(sets.select(F.col("place").alias("b"), F.col("t").alias("t_b")), "b")
+        pairs.join(sets.select(F.col("set").alias("a"), F.col("t").alias("t_a")), "a")
+        .join(sets.select(F.col("set").alias("b"), F.col("t").alias("t_b")), "b")
         .where(common * 100 >= (F.size("t_a") + F.size("t_b") - common) * percent)
         .select("b")
     )
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, ranks: Column) -> DataFrame:
-    """place and token set of the lines in `pairs`."""
-    ends = pairs.select(F.col("a").alias("place")).distinct().unionByName(pairs.select(F.col("b").alias("place")).distinct())
-    wanted = ends.select("place.doc_id", "place.line_no").distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"))
-    some = docs.join(wanted, "doc_id").select(
-        "doc_id", "wanted", F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line")
-    )
-    return some.where(F.array_contains("wanted", F.col("line_no"))).select(
-        F.struct("doc_id", "line_no").alias("place"), tokens(F.col("line"), ranks).alias("t")
-    )
-
-
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """`docs` with repeated lines taken out of `text`; also `n_lines` and `n_removed` (int).
 
