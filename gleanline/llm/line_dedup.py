@@ -5,8 +5,9 @@ of at least t, the larger of n and the smaller of m words, have their first comm
 n - ceil(t n) + 1 of the larger and the first m - ceil(2 t m / (1 + t)) + 1 of the smaller. Lines that share such a word
 and pass the length and positional filters are compared in full. Equal sets collapse first.
 
-One match is enough for a line to go. So each set is first held against the earliest holders of two of its words; in a
-group of like lines that settles nearly all, and only pairs whose later line is still open come out of the full join.
+One match is enough for a line to go. So each set is first held against repeated lines, the earliest that hold two of
+its words; in a group of like lines that settles nearly all, and only pairs whose later line is still open come out of
+the full join.
 """
 
 from __future__ import annotations
@@ -102,15 +103,20 @@ def _side(entries: DataFrame, side: str, *more: str) -> DataFrame:
     return entries.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("set", "n", "s", *more)])
 
 
-def _star_matches(sets: DataFrame, percent: int) -> DataFrame:
-    """set of every set that the earliest holder of one of its middle or last probed words matches."""
-    held = sets.select("set", "n", "s", F.explode(F.slice("t", F.lit(1), _indexed(F.col("n"), percent))).alias("token"))
+def _star_matches(docs: DataFrame, firsts: DataFrame, ranks: Column, percent: int) -> DataFrame:
+    """`b`: sets that a repeated line matches, which is the earliest holder of one of their middle or last probed words."""
+    held = firsts.where("copies > 1").select("set", "n", "s", F.explode(F.slice("prefix", F.lit(1), _indexed(F.col("n"), percent))).alias("token"))
     earliest = held.groupBy("token").agg(F.min(F.struct("set", "n", "s")).alias("m")).select("token", "m.*")
-    last = _probed(F.col("n"), percent)
-    two = F.array_distinct(F.array(F.element_at("t", F.ceil(last / 2).cast("int")), F.element_at("t", last)))
-    asked = sets.select("set", "n", "s", F.explode(two).alias("token"))
+    last = F.size("prefix")
+    two = F.array_distinct(F.array(F.element_at("prefix", F.ceil(last / 2).cast("int")), F.element_at("prefix", last)))
+    asked = firsts.select("set", "n", "s", F.explode(two).alias("token"))
     met = _side(earliest, "a").join(_side(asked, "b"), "token").where((F.col("set_a") < F.col("set_b")) & _alike(percent))
-    return store(_similar(met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct(), sets, percent))
+    pairs = store(met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct())
+    sets = store(_sets(docs, pairs, ranks))
+    found = store(_similar(pairs, sets, percent).distinct())
+    forget(pairs)
+    forget(sets)
+    return found
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -120,40 +126,47 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         docs.select("doc_id", F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line"))
         .where(F.trim("line") != "")  # a test of the tokens would be pushed down and compute them twice
         .select("doc_id", "line_no", tokens(F.col("line"), ranks).alias("t"))
-        .select("doc_id", "line_no", F.size("t").alias("n"), F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), "t")
+        .select("doc_id", "line_no", F.size("t").alias("n"), "t")
+        .select(
+            "doc_id", "line_no", "n", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"),
+            _signature(F.col("t")).alias("s"), F.slice("t", F.lit(1), _probed(F.col("n"), percent)).alias("prefix"),
+        )
     )
     place = F.struct("doc_id", "line_no")
     firsts = store(
         lines.groupBy("k1", "k2", "n")
-        .agg(F.min(F.struct("doc_id", "line_no", "t")).alias("m"), F.count("*").alias("copies"))
-        .select("k1", "k2", "n", "copies", F.struct("m.doc_id", "m.line_no").alias("set"), _signature(F.col("m.t")).alias("s"), "m.t")
+        .agg(F.min(F.struct("doc_id", "line_no", "s", "prefix")).alias("m"), F.count("*").alias("copies"))
+        .select("k1", "k2", "n", "copies", F.struct("m.doc_id", "m.line_no").alias("set"), "m.s", "m.prefix")
     )
     copies = (
         lines.join(firsts.where("copies > 1").select("k1", "k2", "n", "set"), ["k1", "k2", "n"])
         .where(place != F.col("set"))
         .select("doc_id", "line_no")
     )
-    sets = firsts.select("set", "n", "s", "t")
-    settled = _star_matches(sets, percent)
-    flagged = sets.join(settled.select(F.col("b").alias("set"), F.lit(True).alias("gone")).distinct(), "set", "left")
-    flagged = flagged.select("set", "n", "s", F.coalesce("gone", F.lit(False)).alias("gone"), "t")
-    small = flagged.select("set", "n", "s", "gone", F.posexplode(F.slice("t", F.lit(1), _indexed(F.col("n"), percent))).alias("at", "token"))
-    large = flagged.select("set", "n", "s", "gone", F.posexplode(F.slice("t", F.lit(1), _probed(F.col("n"), percent))).alias("at", "token"))
+    settled = _star_matches(docs, firsts, ranks, percent)
+    flagged = firsts.select("set", "n", "s", "prefix").join(settled.select(F.col("b").alias("set"), F.lit(True).alias("gone")), "set", "left")
+    flagged = flagged.select("set", "n", "s", F.coalesce("gone", F.lit(False)).alias("gone"), "prefix")
+    shorter = F.slice("prefix", F.lit(1), _indexed(F.col("n"), percent))
+    small = flagged.select("set", "n", "s", "gone", F.posexplode(shorter).alias("at", "token"))
+    large = flagged.select("set", "n", "s", "gone", F.posexplode("prefix").alias("at", "token"))
     # Of sets of one size the earlier is taken for the smaller.
     roles = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("set_a") < F.col("set_b")))
     early = F.col("at_a") + F.col("at_b") <= _room(F.col("n_a"), F.col("n_b"), percent)
     later_open = ~F.when(F.col("set_a") < F.col("set_b"), F.col("gone_b")).otherwise(F.col("gone_a"))
-    met = _side(small, "a", "gone", "at").join(_side(large, "b", "gone", "at"), "token").where(roles & later_open & early & _alike(percent))
+    a, b = _side(small, "a", "gone", "at"), _side(large, "b", "gone", "at")
     pairs = store(
-        met.groupBy(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).agg(F.count("*").alias("shared"))
+        a.join(b, (a["token"] == b["token"]) & roles & later_open & early & _alike(percent))
+        .groupBy(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b"))
+        .agg(F.count("*").alias("shared"))
     )
+    sets = store(_sets(docs, pairs, ranks))
     # Each line is held first against the line with which it shares most, and only those that fail there against all others.
     best = store(pairs.groupBy("b").agg(F.max_by("a", "shared").alias("a")))
     found = store(_similar(best, sets, percent))
     others = pairs.join(found, "b", "left_anti").join(best.withColumnRenamed("a", "tried"), "b").where("a <> tried")
     similar = settled.unionByName(found).unionByName(_similar(others, sets, percent)).select("b.doc_id", "b.line_no").distinct()
     out = store(copies.unionByName(similar))
-    for old in (lines, firsts, settled, pairs, best, found):
+    for old in (lines, firsts, settled, pairs, sets, best, found):
         forget(old)
     return out
 
@@ -162,13 +175,25 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The later line `b` of the pairs whose full sets are similar enough."""
     common = F.size(F.array_intersect("t_a", "t_b"))
     return (
-        pairs.join(sets.select(F.col("set").alias("a"), F.col("t").alias("t_a")), "a")
-        .join(sets.select(F.col("set").alias("b"), F.col("t").alias("t_b")), "b")
+        pairs.join(sets.select(F.col("place").alias("a"), F.col("t").alias("t_a")), "a")
+        .join(sets.select(F.col("place").alias("b"), F.col("t").alias("t_b")), "b")
         .where(common * 100 >= (F.size("t_a") + F.size("t_b") - common) * percent)
         .select("b")
     )
 
 
+def _sets(docs: DataFrame, pairs: DataFrame, ranks: Column) -> DataFrame:
+    """place and token set of the lines in `pairs`."""
+    ends = pairs.select(F.col("a").alias("place")).distinct().unionByName(pairs.select(F.col("b").alias("place")).distinct())
+    wanted = ends.select("place.doc_id", "place.line_no").distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted"))
+    some = docs.join(wanted, "doc_id").select(
+        "doc_id", "wanted", F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line")
+    )
+    return some.where(F.array_contains("wanted", F.col("line_no"))).select(
+        F.struct("doc_id", "line_no").alias("place"), tokens(F.col("line"), ranks).alias("t")
+    )
+
+
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """`docs` with repeated lines taken out of `text`; also `n_lines` and `n_removed` (int).
 
