@@ -104,6 +104,11 @@ def company_key(name: Column) -> Column:
     return F.when(kept == "", joined).otherwise(kept)
 
 
+def employer_block(company: Column) -> Column:
+    """`company_key`, NULL for the text that feeds give where no employer is declared: such postings are no block."""
+    return F.when(F.trim(company) != fv.UNDECLARED_COMPANY, F.nullif(company_key(company), F.lit("")))
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(comparison_key(text), 256)
 

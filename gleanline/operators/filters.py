@@ -65,6 +65,44 @@ def candidates(
     return rows.orderBy(F.col("posted_at").desc_nulls_last(), F.col("first_seen_at").desc(), "id").limit(limit)
 
 
+#: Profiles whose criteria meet the postings in one pass, about.
+PROFILE_BLOCK = 256
+_JUDGED_BY = (
+    "id", "company", "lang", "seniority", "country", "city", "work_mode", "contract_type", "posted_at", "salary_is_stated", "salary_eur_year_max",
+)
+
+
+def judge_profiles(postings: DataFrame, matches: DataFrame, criteria: DataFrame, now: Column) -> DataFrame:
+    """(profile_id, id, rejected) of every active posting that a profile has not decided on or scored.
+
+    Input: postings with what `rejection` reads, or `salary` as a struct; matches(profile_id, job_id, status,
+    reached_stage); criteria(profile_id and the fields of MatchCriteria). Criteria come in blocks of about
+    PROFILE_BLOCK profiles as constants of the plan, so that postings are read once a block and nothing is shuffled
+    but the pairs that are settled.
+    """
+    if "salary" in postings.columns:
+        postings = postings.withColumns({"salary_is_stated": F.col("salary.is_stated"), "salary_eur_year_max": F.col("salary.eur_year_max")})
+    rows = postings.where("is_active").select(*_JUDGED_BY)
+    settled = F.col("status").isin(fv.DECIDED_STATUSES) | (F.col("reached_stage") >= 2)
+    done = matches.where(settled).select("profile_id", F.col("job_id").alias("id")).distinct()
+    own = criteria.select("profile_id", *[f.name for f in fields(MatchCriteria)])
+    kind = f"array<{own.schema.simpleString()}>"
+    blocks = max(1, -(-own.count() // PROFILE_BLOCK))
+    out = None
+    for block in range(blocks):
+        some = own.where(F.pmod(F.xxhash64("profile_id"), F.lit(blocks)) == block)
+        texts = [r.j for r in some.select(F.to_json(F.struct(*own.columns)).alias("j")).collect()]  # about PROFILE_BLOCK
+        if not texts:
+            continue
+        listed = F.from_json(F.lit("[" + ",".join(texts) + "]"), kind)
+        asked = rows.withColumn("criteria", F.explode(listed)).withColumn("profile_id", F.col("criteria.profile_id"))
+        judged = asked.join(done, ["profile_id", "id"], "left_anti").select("profile_id", "id", rejection(profile_columns(), now).alias("rejected"))
+        out = judged if out is None else out.unionByName(judged)
+    if out is None:
+        return rows.where("false").select(F.lit(0).cast("long").alias("profile_id"), "id", F.lit(None).cast("struct<kind:string,detail:string>").alias("rejected"))
+    return out
+
+
 def in_list(value: Column, members: Column) -> Column:
     return F.coalesce(F.array_contains(members, value), F.lit(False))
 

@@ -258,12 +258,18 @@ def _without(start: int, width: int) -> int:
 # --- best variant ------------------------------------------------------------------------------
 
 
+#: Columns that travel together: how to apply, what the text is, what the rules made of it.
+APPLICATION = ("ats_type", "ats_board_token", "ats_job_id", "apply_url", "url")
+TEXT = ("chars", "simhash", "content_hash", "lang")
+CLASSES = ("work_mode", "contract_type", "seniority", "job_family", "title")
+
+
 def richness() -> Column:
     """Completeness of a variant; structs compare field by field."""
     tier = F.when(F.col("ats_type").isin(fv.DIRECT_ATS), 2).when(F.col("ats_type") != "unknown", 1).otherwise(0)
     return F.struct(
         tier.alias("tier"),
-        F.col("salary_is_stated").cast("int").alias("stated"),
+        F.col("salary.is_stated").cast("int").alias("stated"),
         (F.coalesce(F.col("city"), F.lit("")) != "").cast("int").alias("placed"),
         F.col("chars"),
         (-F.col("id")).alias("earlier"),
@@ -273,44 +279,42 @@ def richness() -> Column:
 def merge_variants(variants: DataFrame) -> DataFrame:
     """One composed posting per group_id, each field from the variant that knows it best.
 
-    Input: group_id, id (arrival order), ats_type, apply_url, url, salary_is_stated, salary_min,
-    city, country, posted_at, chars. Texts stay out of the aggregation: `text_id` names the variant
-    whose text to fetch.
+    Input: group_id, id (arrival order), salary (struct, taken whole from one variant), the columns of APPLICATION,
+    city, country, posted_at, chars, simhash, content_hash; any further column comes from the most complete variant.
+    Texts stay out of the aggregation: `text_id` names the variant whose text to fetch, `base_id` the most complete one.
     """
-    known = F.col("ats_type") != "unknown"
-    ats_order = F.when(
-        known, F.struct((~F.col("ats_type").isin(fv.DIRECT_ATS)).cast("int").alias("t"), F.col("id"))
+    direct = F.when(
+        F.col("ats_type") != "unknown", F.struct((~F.col("ats_type").isin(fv.DIRECT_ATS)).cast("int").alias("t"), F.col("id"))
     )
+    composed = {"group_id", "posted_at", "chars", "simhash", "content_hash"}
+    own = [c for c in variants.columns if c not in composed]
 
     def first_known(column: str, test: Column) -> Column:
         return F.min_by(column, F.when(test, F.col("id")))
 
-    base = F.struct("id", "ats_type", "apply_url", "url", "salary_min", "city", "country")
     merged = variants.groupBy("group_id").agg(
-        F.max_by(base, richness()).alias("base"),
-        F.min_by(F.struct("ats_type", "apply_url", "url"), ats_order).alias("ats"),
-        F.max_by("id", F.struct("chars", (-F.col("id")).alias("earlier"))).alias("text_id"),
-        F.max("chars").alias("chars"),
-        F.max("salary_is_stated").alias("salary_is_stated"),
-        first_known("salary_min", F.col("salary_is_stated")).alias("stated_min"),
+        F.max_by(F.struct(*own), richness()).alias("base"),
+        F.min_by(F.struct(*APPLICATION), direct).alias("ats"),
+        F.max_by(F.struct("id", "chars", "simhash", "content_hash"), F.struct("chars", (-F.col("id")).alias("earlier"))).alias("longest"),
+        first_known("salary", F.col("salary.is_stated")).alias("paid"),
         F.min("posted_at").alias("posted_at"),
         first_known("city", F.coalesce(F.col("city"), F.lit("")) != "").alias("any_city"),
         first_known("country", F.coalesce(F.col("country"), F.lit("")) != "").alias("any_country"),
         F.count("*").alias("n_variants"),
     )
+    base = {c: F.col(f"base.{c}") for c in own if c != "id"}
+    # The address of an application form never gives way to none; the rest of a board's columns goes together.
+    base |= {c: F.when(F.col("ats").isNotNull(), F.col(f"ats.{c}")).otherwise(base[c]) for c in APPLICATION}
+    base["apply_url"] = F.coalesce("ats.apply_url", "base.apply_url")
+    base["salary"] = F.coalesce("paid", "base.salary")
+    base |= {c: F.coalesce(F.nullif(F.col(f"base.{c}"), F.lit("")), F.col(f"any_{c}")) for c in ("city", "country")}
     return merged.select(
         "group_id",
         F.col("base.id").alias("base_id"),
-        "text_id",
-        "chars",
-        F.coalesce("ats.ats_type", "base.ats_type").alias("ats_type"),
-        F.coalesce("ats.apply_url", "base.apply_url").alias("apply_url"),
-        F.coalesce("ats.url", "base.url").alias("url"),
-        "salary_is_stated",
-        F.when(F.col("salary_is_stated"), F.col("stated_min")).otherwise(F.col("base.salary_min")).alias("salary_min"),
+        F.col("longest.id").alias("text_id"),
+        *[F.col(f"longest.{c}").alias(c) for c in ("chars", "simhash", "content_hash")],
+        *[v.alias(c) for c, v in base.items()],
         "posted_at",
-        F.coalesce("base.city", "any_city").alias("city"),
-        F.coalesce("base.country", "any_country").alias("country"),
         "n_variants",
     )
 
@@ -363,30 +367,38 @@ def match_stored(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
+def new_id() -> Column:
+    """Id of a new posting: of its key, or of its feed and number there where the key says nothing."""
+    alone = F.concat_ws("/", F.lit("link"), F.coalesce("source", F.lit("")), F.coalesce("external_id", F.lit("")))
+    return stable_id(F.when(has_key(), F.col("canonical_key")).otherwise(alone))
+
+
 def insert_new(incoming: DataFrame, matched: DataFrame, now: Column) -> DataFrame:
-    """Master rows for the postings nothing in the store matches."""
+    """Master rows for the postings nothing in the store matches, one for each key or keyless posting.
+
+    Input: id (arrival order), canonical_key, source, external_id and what the store holds. Of new postings with one
+    key the first one speaks for all; `new_id` tells every one of them where it belongs.
+    """
     new = matched.where("stored_id IS NULL").select("id")
-    fresh = incoming.join(new, "id", "left_semi")
-    return fresh.select(
-        stable_id(F.col("canonical_key")).alias("job_id"),
-        *[c for c in incoming.columns if c != "id"],
-        now.alias("first_seen_at"),
-        now.alias("last_seen_at"),
-        F.lit(True).alias("is_active"),
-    )
+    own = [c for c in incoming.columns if c != "id"]
+    fresh = incoming.join(new, "id", "left_semi").withColumn("job_id", new_id())
+    first = fresh.groupBy("job_id").agg(F.min_by(F.struct(*own), "id").alias("row"))
+    return first.select("job_id", "row.*", now.alias("first_seen_at"), now.alias("last_seen_at"), F.lit(True).alias("is_active"))
 
 
 def refresh_stored(stored: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
     """New snapshot of the store: a field changes only where the incoming value is better.
 
-    `incoming` has one row per stored id, in column `stored_id`. Rows without news pass through.
+    `incoming` has one row per stored id, in column `stored_id`. Rows without news pass through. A longer text brings
+    its print, hash and language along, a first stated salary all of its fields, a first board all of APPLICATION;
+    classes change where today's rules say something. Columns that only the store has stay as they are.
     """
     new = incoming.select(*[F.col(c).alias(f"new_{c}") for c in incoming.columns])
     both = stored.join(new, stored["id"] == new["new_stored_id"], "left")
     seen = F.col("new_stored_id").isNotNull()
     longer = F.col("new_chars") > F.coalesce("chars", F.lit(0))
-    newly_paid = F.col("new_salary_is_stated") & ~F.col("salary_is_stated")
-    newly_direct = (F.col("new_ats_type") != "unknown") & (F.col("ats_type") == "unknown")
+    newly_paid = F.col("new_salary.is_stated") & ~F.coalesce(F.col("salary.is_stated"), F.lit(False))
+    newly_direct = (F.col("new_ats_type") != "unknown") & (F.coalesce("ats_type", F.lit("unknown")) == "unknown")
 
     def blank(column: str) -> Column:
         return F.coalesce(F.col(column), F.lit("")) == ""
@@ -397,18 +409,14 @@ def refresh_stored(stored: DataFrame, incoming: DataFrame, now: Column) -> DataF
     changes = {
         "last_seen_at": F.when(seen, now).otherwise(F.col("last_seen_at")),
         "is_active": seen | F.col("is_active"),
-        "chars": better(longer, "chars"),
-        "simhash": better(longer, "simhash"),
-        "text_id": better(longer, "text_id"),
-        "salary_is_stated": F.col("salary_is_stated") | F.coalesce(F.col("new_salary_is_stated"), F.lit(False)),
-        "salary_min": better(newly_paid, "salary_min"),
-        "ats_type": better(newly_direct, "ats_type"),
-        "apply_url": better(newly_direct & F.col("new_apply_url").isNotNull(), "apply_url"),
-        "url": better(newly_direct, "url"),
+        "salary": better(newly_paid, "salary"),
         "posted_at": F.least("posted_at", "new_posted_at"),
-        "city": better(blank("city") & ~blank("new_city"), "city"),
-        "country": better(blank("country") & ~blank("new_country"), "country"),
+        **{c: better(longer, c) for c in (*TEXT, "text_id")},
+        **{c: better(newly_direct, c) for c in APPLICATION},
+        **{c: better(blank(c) & ~blank(f"new_{c}"), c) for c in ("city", "country")},
+        **{c: reclassify(F.col(c), F.when(seen, F.col(f"new_{c}"))) for c in CLASSES},
     }
+    changes["apply_url"] = better(newly_direct & ~blank("new_apply_url"), "apply_url")
     return both.select(*[changes.get(c, F.col(c)).alias(c) for c in stored.columns])
 
 

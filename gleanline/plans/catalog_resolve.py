@@ -47,12 +47,30 @@ def duck_prints(source: str = "documents", ident: str = "doc_id", body: str = "t
               SELECT {ident} AS id, {twin.key(body)} AS k, string_split({twin.key(body)}, ' ') AS w FROM {source}))) GROUP BY id))"""
 
 
+_PAY = ("min", "max", "currency", "period", "eur_year_min", "eur_year_max")
+
+
+def _paid(rows):
+    """The salary columns of the view as one struct."""
+    fields = [c(f"salary_{f}").alias(f) for f in ("is_stated", *_PAY)]
+    return rows.withColumn("salary", F.struct(*fields)).drop(*[f"salary_{f}" for f in ("is_stated", *_PAY)])
+
+
+def _flat(rows, *more):
+    """Stored columns with the salary's fields again as columns of their own."""
+    stamp = F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("posted_at")
+    return rows.select(*more, *_KEPT, stamp, c("salary.is_stated").alias("salary_is_stated"), *[c(f"salary.{f}").alias(f"salary_{f}") for f in _PAY])
+
+
+_KEPT = (*resolve.APPLICATION, *resolve.TEXT, *resolve.CLASSES, "source", "external_id", "canonical_key", "company_normalized", "city", "country")
+
+
 def listing(t: Tables):
     """Listings with their fingerprint; texts dropped once it is known.
 
     Written once, as the stored posting table would be: grouping, matching and merging all read it.
     """
-    rows = view(t, "listing")
+    rows = _paid(view(t, "listing"))
     prints = resolve.simhash(rows, "id", "description_clean")
     lean = rows.withColumn("chars", F.length("description_clean")).drop("description_clean", "n_chars")
     return cut_lineage(lean.join(prints, "id"))
@@ -153,10 +171,11 @@ _M = "m AS MATERIALIZED (SELECT l.*, group_id, " + _TIER + " AS tier FROM l JOIN
 @query(
     "d06_merge",
     _ctes(duck_prints(), _V, _L, _EDGES, _M)
-    + f"""SELECT b.group_id, b.id AS base_id, tx.id AS text_id, coalesce(ats.ats_type, b.ats_type) AS ats_type,
-      coalesce(ats.apply_url, b.apply_url) AS apply_url, coalesce(ats.url, b.url) AS url,
-      coalesce(sal.salary_min, b.salary_min) AS salary_min, {twin.iso('g.posted_at')} AS posted_at,
-      coalesce(b.city, ct.city) AS city, coalesce(b.country, co.country) AS country, g.n AS n_variants
+    + f"""SELECT b.group_id, b.id AS base_id, tx.id AS text_id, g.n AS n_variants,
+      {', '.join(f'CASE WHEN ats.id IS NULL THEN b.{x} ELSE ats.{x} END AS {x}' for x in resolve.APPLICATION if x != 'apply_url')}, coalesce(ats.apply_url, b.apply_url) AS apply_url,
+      tx.chars, tx.simhash, tx.content_hash, b.lang, {', '.join(f'b.{x}' for x in (*resolve.CLASSES, 'source', 'external_id', 'canonical_key', 'company_normalized'))},
+      coalesce(b.city, ct.city) AS city, coalesce(b.country, co.country) AS country, {twin.iso('g.posted_at')} AS posted_at,
+      {', '.join(f'CASE WHEN sal.id IS NULL THEN b.salary_{x} ELSE sal.salary_{x} END AS salary_{x}' for x in ('is_stated', *_PAY))}
     FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY tier DESC, salary_is_stated DESC, city IS NOT NULL DESC, chars DESC, id) = 1) b
     JOIN (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY chars DESC, id) = 1) tx USING (group_id)
     JOIN (SELECT group_id, min(posted_at) AS posted_at, count(*) AS n FROM m GROUP BY 1) g USING (group_id)
@@ -166,11 +185,7 @@ _M = "m AS MATERIALIZED (SELECT l.*, group_id, " + _TIER + " AS tier FROM l JOIN
     LEFT JOIN (SELECT * FROM m WHERE country IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY id) = 1) co USING (group_id)""",
 )
 def merge(t: Tables):
-    out = resolve.merge_variants(grouped(t))
-    return out.select(
-        "group_id", "base_id", "text_id", "ats_type", "apply_url", "url", "salary_min",
-        F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("posted_at"), "city", "country", "n_variants",
-    )
+    return _flat(resolve.merge_variants(grouped(t)), "group_id", "base_id", "text_id", "n_variants")
 
 
 @query(
@@ -179,7 +194,7 @@ def merge(t: Tables):
     + f"SELECT id, {_TIER} || '/' || CAST(salary_is_stated AS INT) || '/' || CAST(city IS NOT NULL AS INT) || '/' || chars AS richness FROM v",
 )
 def richness(t: Tables):
-    rows = view(t, "listing").withColumn("chars", F.length("description_clean"))
+    rows = _paid(view(t, "listing")).withColumn("chars", F.length("description_clean"))
     r = resolve.richness()
     parts = [r[f].cast("string") for f in ("tier", "stated", "placed", "chars")]
     return rows.select("id", F.concat_ws("/", *parts).alias("richness"))
@@ -260,25 +275,28 @@ def match_two_days(t: Tables):
 @query(
     "d10_insert_new",
     _ctes(duck_prints(), _V, _L, _MATCHED)
-    + f"SELECT CAST('0x' || substr(md5(canonical_key), 1, 15) AS BIGINT) AS job_id, source, chars, '{NOW}' AS first_seen_at, is_active "
-    "FROM (SELECT i.*, true AS is_active FROM i JOIN matched USING (id) WHERE stored_id IS NULL)",
+    + f"""SELECT CAST('0x' || substr(md5(key_), 1, 15) AS BIGINT) AS job_id, '{NOW}' AS first_seen_at, true AS is_active, {', '.join(_KEPT)},
+      {twin.iso('posted_at')} AS posted_at, salary_is_stated, {', '.join(f'salary_{x}' for x in _PAY)}
+    FROM (SELECT i.*, CASE WHEN coalesce(replace(canonical_key, '|', ''), '') <> '' THEN canonical_key ELSE 'link/' || coalesce(source, '') || '/' || external_id END AS key_
+      FROM i JOIN matched USING (id) WHERE stored_id IS NULL) QUALIFY row_number() OVER (PARTITION BY key_ ORDER BY id) = 1""",
 )
 def insert_new(t: Tables):
     stored, incoming = _halves(t)
     out = resolve.insert_new(incoming, resolve.match_stored(incoming, stored), now())
-    return out.select("job_id", "source", "chars", F.date_format("first_seen_at", "yyyy-MM-dd HH:mm:ss").alias("first_seen_at"), "is_active")
+    return _flat(out, "job_id", F.date_format("first_seen_at", "yyyy-MM-dd HH:mm:ss").alias("first_seen_at"), "is_active")
 
 
 @query(
     "d11_refresh_stored",
     _ctes(duck_prints(), _V, _L, _MATCHED)
     + f"""SELECT s.id, s.is_active OR n.id IS NOT NULL AS is_active, CASE WHEN n.id IS NULL THEN '2024-01-01 00:00:00' ELSE '{NOW}' END AS last_seen_at,
-      CASE WHEN n.chars > s.chars THEN n.chars ELSE s.chars END AS chars, CASE WHEN n.chars > s.chars THEN n.simhash ELSE s.simhash END AS simhash,
-      CASE WHEN n.chars > s.chars THEN n.id ELSE s.id END AS text_id,
+      {', '.join(f'CASE WHEN n.chars > s.chars THEN n.{x} ELSE s.{x} END AS {y}' for x, y in [*zip(resolve.TEXT, resolve.TEXT), ('id', 'text_id')])},
       s.salary_is_stated OR coalesce(n.salary_is_stated, false) AS salary_is_stated,
-      CASE WHEN n.salary_is_stated AND NOT s.salary_is_stated THEN n.salary_min ELSE s.salary_min END AS salary_min,
-      CASE WHEN n.ats_type <> 'unknown' AND s.ats_type = 'unknown' THEN n.ats_type ELSE s.ats_type END AS ats_type,
+      {', '.join(f'CASE WHEN n.salary_is_stated AND NOT s.salary_is_stated THEN n.salary_{x} ELSE s.salary_{x} END AS salary_{x}' for x in _PAY)},
+      {', '.join(f"CASE WHEN n.ats_type <> 'unknown' AND s.ats_type = 'unknown' THEN n.{x} ELSE s.{x} END AS {x}" for x in resolve.APPLICATION if x != 'apply_url')},
       CASE WHEN n.ats_type <> 'unknown' AND s.ats_type = 'unknown' THEN coalesce(n.apply_url, s.apply_url) ELSE s.apply_url END AS apply_url,
+      {', '.join(f"coalesce(nullif(nullif(n.{x}, 'unknown'), ''), s.{x}) AS {x}" for x in resolve.CLASSES)},
+      s.source, s.external_id, s.canonical_key, s.company_normalized,
       {twin.iso('least(s.posted_at, n.posted_at)')} AS posted_at, coalesce(s.city, n.city) AS city, coalesce(s.country, n.country) AS country
     FROM s LEFT JOIN (SELECT i.*, stored_id FROM i JOIN matched USING (id) WHERE stored_id IS NOT NULL
       QUALIFY row_number() OVER (PARTITION BY stored_id ORDER BY chars DESC, i.id) = 1) n ON n.stored_id = s.id""",
@@ -292,11 +310,7 @@ def refresh_stored(t: Tables):
     best = news.groupBy("stored_id").agg(F.max_by(fields, F.struct("chars", -c("id"))).alias("n")).select("stored_id", "n.*")
     store = stored.withColumns({"text_id": c("id"), "last_seen_at": F.lit("2024-01-01 00:00:00").cast("timestamp")})
     out = resolve.refresh_stored(store, best, now())
-    stamp = "yyyy-MM-dd HH:mm:ss"
-    return out.select(
-        "id", "is_active", F.date_format("last_seen_at", stamp).alias("last_seen_at"), "chars", "simhash", "text_id",
-        "salary_is_stated", "salary_min", "ats_type", "apply_url", F.date_format("posted_at", stamp).alias("posted_at"), "city", "country",
-    )
+    return _flat(out, "id", "text_id", "is_active", F.date_format("last_seen_at", "yyyy-MM-dd HH:mm:ss").alias("last_seen_at"))
 
 
 _OLD_LEVEL = "CASE id % 3 WHEN 0 THEN 'mid' WHEN 1 THEN 'unknown' ELSE 'senior' END"

@@ -38,6 +38,7 @@ def normalise(raw: DataFrame) -> DataFrame:
         "title",
         text.strip(F.col("company")).alias("company"),
         text.company_key(F.col("company")).alias("company_normalized"),
+        text.employer_block(F.col("company")).alias("employer"),
         text.canonical_key(F.col("company"), F.col("title"), F.col("place.city")).alias("canonical_key"),
         text.content_hash(F.concat_ws("\n", "title", "description_clean")).alias("content_hash"),
         F.col("location").alias("location_raw"),

@@ -71,9 +71,21 @@ FROM {{documents}} d LEFT JOIN {{labels}} l ON l.doc_id = d.doc_id
 LISTING = """
 SELECT doc_id AS id, source, lang AS company_normalized,
   lang || '|' || split_part(text, chr(10), 1) || '|' AS canonical_key,
-  text AS description_clean, n_chars,
+  text AS description_clean, n_chars, CAST(doc_id AS STRING) AS external_id,
   CASE doc_id % 6 WHEN 1 THEN 'greenhouse' WHEN 3 THEN 'taleo' WHEN 5 THEN 'lever' ELSE 'unknown' END AS ats_type,
+  CASE WHEN doc_id % 12 = 1 THEN 'board-' || CAST(doc_id % 97 AS STRING) END AS ats_board_token,
+  CASE WHEN doc_id % 2 = 1 THEN 'job-' || CAST(doc_id AS STRING) END AS ats_job_id,
   doc_id % 3 = 0 AS salary_is_stated, CAST(20000 + doc_id % 1000 AS BIGINT) AS salary_min,
+  CASE WHEN doc_id % 2 = 0 THEN CAST(30000 + doc_id % 1000 AS BIGINT) END AS salary_max,
+  CASE doc_id % 5 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' END AS salary_currency,
+  CASE WHEN doc_id % 7 < 5 THEN 'yearly' ELSE 'monthly' END AS salary_period,
+  CAST(20000 + doc_id % 900 AS BIGINT) AS salary_eur_year_min, CASE WHEN doc_id % 2 = 0 THEN CAST(30000 + doc_id % 900 AS BIGINT) END AS salary_eur_year_max,
+  'hash-' || CAST(doc_id AS STRING) AS content_hash, CASE WHEN doc_id % 11 > 0 THEN lang END AS lang,
+  CASE WHEN doc_id % 13 > 0 THEN 'Title ' || CAST(doc_id AS STRING) ELSE '' END AS title,
+  CASE doc_id % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'remote' WHEN 2 THEN 'hybrid' ELSE 'on_site' END AS work_mode,
+  CASE WHEN doc_id % 3 = 1 THEN 'permanent' ELSE 'unknown' END AS contract_type,
+  CASE doc_id % 5 WHEN 0 THEN 'senior' WHEN 1 THEN 'mid' ELSE 'unknown' END AS seniority,
+  CASE WHEN doc_id % 2 = 0 THEN 'Family ' || CAST(doc_id % 9 AS STRING) END AS job_family,
   CASE WHEN doc_id % 4 = 0 THEN 'City ' || CAST(doc_id % 10 AS STRING) END AS city,
   CASE WHEN doc_id % 5 = 0 THEN 'IT' END AS country,
   CASE WHEN doc_id % 2 = 1 THEN 'https://apply.example.com/' || CAST(doc_id AS STRING) END AS apply_url,
