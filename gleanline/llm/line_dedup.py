@@ -5,8 +5,8 @@ of at least t, the larger of n and the smaller of m words, have their first comm
 n - ceil(t n) + 1 of the larger and the first m - ceil(2 t m / (1 + t)) + 1 of the smaller. Lines that share such a word
 and pass the length and positional filters are compared in full. Equal sets collapse first.
 
-One match is enough for a line to go. So each set is first held against repeated lines, the earliest that hold two of
-its words; in a group of like lines that settles nearly all, and only pairs whose later line is still open come out of
+One match is enough for a line to go. So each set is first held against the most repeated lines that hold some of its
+words; in a group of like lines that settles nearly all, and only pairs whose later line is still open come out of
 the full join.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import forget, store
 
 #: Rarity is known for so many hash buckets of words, whatever the size of the corpus.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 HASH_BITS = 55
 
 
@@ -104,13 +104,13 @@ def _side(entries: DataFrame, side: str, *more: str) -> DataFrame:
 
 
 def _star_matches(docs: DataFrame, firsts: DataFrame, ranks: Column, percent: int) -> DataFrame:
-    """`b`: sets that a repeated line matches, which is the earliest holder of one of their middle or last probed words."""
-    held = firsts.where("copies > 1").select("set", "n", "s", F.explode(F.slice("prefix", F.lit(1), _indexed(F.col("n"), percent))).alias("token"))
-    earliest = held.groupBy("token").agg(F.min(F.struct("set", "n", "s")).alias("m")).select("token", "m.*")
+    """`b`: sets that a repeated line matches, of those that hold one of three of their probed words the one with most copies."""
+    held = firsts.where("copies > 1").select("set", "n", "s", "copies", F.explode(F.slice("prefix", F.lit(1), _indexed(F.col("n"), percent))).alias("token"))
+    widest = held.groupBy("token").agg(F.max_by(F.struct("set", "n", "s"), F.struct("copies", "set")).alias("m")).select("token", "m.*")
     last = F.size("prefix")
-    two = F.array_distinct(F.array(F.element_at("prefix", F.ceil(last / 2).cast("int")), F.element_at("prefix", last)))
-    asked = firsts.select("set", "n", "s", F.explode(two).alias("token"))
-    met = _side(earliest, "a").join(_side(asked, "b"), "token").where((F.col("set_a") < F.col("set_b")) & _alike(percent))
+    some = F.array_distinct(F.array(*[F.element_at("prefix", F.ceil(last * part).cast("int")) for part in (0.3, 0.5, 1.0)]))
+    asked = firsts.select("set", "n", "s", F.explode(some).alias("token"))
+    met = _side(widest, "a").join(_side(asked, "b"), "token").where((F.col("set_a") < F.col("set_b")) & _alike(percent))
     pairs = store(met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct())
     sets = store(_sets(docs, pairs, ranks))
     found = store(_similar(pairs, sets, percent).distinct())
