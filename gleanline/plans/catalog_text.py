@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, fixed_values as fv, language, rules, salary, text
+from ..operators import language_profiles
+from ..session import cut_lineage
 from . import twin
 from .normalise import normalise
 from .registry import Tables, query
@@ -334,6 +336,40 @@ def detect_language(t: Tables):
     )
 
 
+_P = language_profiles.PLACES
+_DUCK_GRAMS = """w AS (SELECT doc_id, lang, length(text) AS chars, unnest(string_split(regexp_replace(lower(text), '[^\\pL]+', ' ', 'g'), ' ')) AS word FROM documents),
+  c AS (SELECT doc_id, lang, chars, word, ' ' || word || ' ' AS s, count(*) AS n FROM w WHERE word <> '' GROUP BY 1, 2, 3, 4),
+  x AS MATERIALIZED (SELECT doc_id, lang, chars, n, unnest(list_concat(list_transform(range(1, length(word) + 1), lambda i: word[i]),
+      list_transform(range(1, length(s)), lambda i: s[i:i + 1]), list_transform(range(1, length(s) - 1), lambda i: s[i:i + 2]))) AS gram FROM c)"""
+_DUCK_PROFILES = f"""WITH {_DUCK_GRAMS},
+  k AS MATERIALIZED (SELECT lang, gram, place FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) AS place FROM x WHERE lang IS NOT NULL GROUP BY 1, 2) WHERE place <= {_P}),
+  o AS MATERIALIZED (SELECT doc_id, gram, place AS own FROM (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY sum(n) DESC, gram) AS place FROM x WHERE chars >= {language_profiles.LEAST_CHARS} GROUP BY 1, 2) WHERE place <= {_P}),
+  d AS (SELECT doc_id, k.lang, 1 - sum({_P} - abs(own - place)) / (size * {_P})::DOUBLE AS distance FROM o JOIN k USING (gram) JOIN (SELECT doc_id, count(*) AS size FROM o GROUP BY 1) USING (doc_id) GROUP BY 1, 2, size),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) AS rn, lead(distance) OVER (PARTITION BY doc_id ORDER BY distance, lang) AS next FROM d),
+  f AS (SELECT doc_id, documents.lang, r.distance, CASE WHEN r.distance <= {language_profiles.FARTHEST} AND coalesce(next, 1) > r.distance * (1 + {language_profiles.MARGIN}) THEN r.lang END AS found
+    FROM documents LEFT JOIN (SELECT * FROM r WHERE rn = 1) r USING (doc_id))"""
+
+
+def _by_profile(t: Tables):
+    known = cut_lineage(language_profiles.profiles(t.documents))
+    found = language_profiles.detect(t.documents, known, "doc_id", "text")
+    return t.documents.select("doc_id", "lang").join(found.withColumnRenamed("lang", "found"), "doc_id")
+
+
+@query("n18_rank_profiles", f"{_DUCK_PROFILES} SELECT doc_id, found, round(distance, 6) AS distance FROM f")
+def rank_profiles(t: Tables):
+    """Language of every document by n-gram ranks; NULL where none is near enough."""
+    return _by_profile(t).select("doc_id", "found", F.round("distance", 6).alias("distance"))
+
+
+@query("n18_profile_agreement", f"{_DUCK_PROFILES} SELECT lang, count(*) AS documents, count(found) AS detected, count_if(found = lang) AS agreeing FROM f GROUP BY 1")
+def profile_agreement(t: Tables):
+    found = _by_profile(t)
+    return found.groupBy("lang").agg(
+        F.count("*").alias("documents"), F.count("found").alias("detected"), F.count_if(c("found") == c("lang")).alias("agreeing")
+    )
+
+
 @query("n19_normalise")
 def full_normalisation(t: Tables):
     out = normalise(view(t, "posting"))

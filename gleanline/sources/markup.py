@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import email
+import email.policy
+import encodings
 from collections.abc import Iterator
-from email.header import decode_header
-from email.utils import parsedate_to_datetime
+from datetime import UTC
+from email.message import EmailMessage
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -66,71 +68,55 @@ def html_to_text_strict(pages: DataFrame, id_column: str, html_column: str) -> D
     return pages.select(id_column, collapse(tag_text(html_column)).alias("text"))
 
 
-def _decoded(header: str | None) -> str:
-    pieces = decode_header(header or "")
-    return "".join(p.decode(charset or "utf-8", "replace") if isinstance(p, bytes) else p for p, charset in pieces)
+#: Header fields that are read, and the columns they become.
+HEADERS = {"message-id": "message_id", "from": "sender", "subject": "subject", "in-reply-to": "answered", "references": "thread"}
 
 
-def _body(part) -> str:
-    content = part.get_payload(decode=True)
-    if not isinstance(content, bytes):
-        return str(part.get_payload())
-    try:
-        return content.decode(part.get_content_charset() or "utf-8", "replace")
-    except LookupError:
-        return content.decode("utf-8", "replace")
+def _seconds(mail: EmailMessage) -> float | None:
+    """The Date field as seconds since 1970; a time without a zone is UTC."""
+    sent = getattr(mail["date"], "datetime", None)
+    return sent and (sent if sent.tzinfo else sent.replace(tzinfo=UTC)).timestamp()
 
 
-def _message(content: bytes) -> tuple | None:
-    """Headers plus (plain, html) bodies of one message; None without a usable date."""
-    message = email.message_from_bytes(content)
-    try:
-        sent = parsedate_to_datetime(message.get("Date") or "")
-    except (TypeError, ValueError):
+def _content(part: EmailMessage | None) -> str | None:
+    if part is None:
         return None
-    leaves = [p for p in message.walk() if not p.is_multipart()]
-    plain = next((p for p in leaves if p.get_content_type() == "text/plain"), None)
-    html = next((p for p in leaves if p.get_content_type() == "text/html"), None)
-    references = " ".join(filter(None, (message.get("In-Reply-To"), message.get("References")))).split()
-    # A date without a zone counts as UTC.
-    seconds = pd.Timestamp(sent).tz_localize("UTC") if sent.tzinfo is None else pd.Timestamp(sent).tz_convert("UTC")
-    return (
-        (message.get("Message-ID") or "").strip(),
-        _decoded(message.get("From")),
-        _decoded(message.get("Subject")),
-        seconds.timestamp(),
-        references,
-        _body(plain) if plain is not None else None,
-        _body(html) if plain is None and html is not None else None,
-    )
-
-
-MESSAGE_COLUMNS = ["path", "message_id", "sender", "subject", "sent", "references", "plain", "html"]
+    declared = part.get_content_charset("utf-8")
+    known = encodings.search_function(declared.replace("-", "_").lower())
+    return str(part.get_payload(decode=True) or b"", known.name if known else "utf-8", "replace")
 
 
 def parse_messages(files: DataFrame) -> DataFrame:
     """(path, message_id, sender, subject, sent_at, references, body) of (path, content) rows.
 
-    Only the MIME structure is read in Python; HTML bodies become text as columns. Messages
-    without a date are dropped: nothing could tell whether they are new.
+    The structure of a message (RFC 5322, 2045, 2047) is read by the mail package's own policy on the executors, a
+    batch of files at a time; ids, threads and HTML bodies become columns in the JVM. The body is the plain part, else
+    the HTML part as text. Messages without a date are dropped: nothing could tell whether they are new.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                parsed = _message(bytes(content))
-                if parsed is not None:
-                    rows.append((path, *parsed))
-            yield pd.DataFrame(rows, columns=MESSAGE_COLUMNS)
-
-    schema = "path string, message_id string, sender string, subject string, sent double, references array<string>, plain string, html string"
-    parsed = files.select("path", "content").mapInPandas(parse, schema)
-    body = F.when(F.col("plain").isNotNull(), strip(F.col("plain"))).otherwise(
-        F.coalesce(html_to_text(F.col("html")), F.lit(""))
-    )
+            mails = frame["content"].map(lambda raw: email.message_from_bytes(bytes(raw), policy=email.policy.default))
+            out = pd.DataFrame({"path": frame["path"]})
+            for field, column in HEADERS.items():
+                out[column] = mails.map(lambda mail, field=field: str(mail.get(field, "")))
+            out["sent"] = mails.map(_seconds).astype(float)
+            for kind in ("plain", "html"):
+                out[kind] = mails.map(lambda mail, kind=kind: _content(mail.get_body((kind,))))
+            yield out
+
+    columns = ["path", *HEADERS.values()]
+    schema = ", ".join(f"{c} string" for c in columns) + ", sent double, plain string, html string"
+    parsed = files.select("path", "content").mapInPandas(parse, schema).where("sent IS NOT NULL AND NOT isnan(sent)")
+    body = F.coalesce(strip(F.col("plain")), html_to_text(F.col("html")), F.lit(""))
     return parsed.select(
-        "path", "message_id", "sender", "subject", F.timestamp_seconds("sent").alias("sent_at"), "references", body.alias("body")
+        "path",
+        F.trim("message_id").alias("message_id"),
+        "sender",
+        "subject",
+        F.timestamp_seconds("sent").alias("sent_at"),
+        F.regexp_extract_all(F.concat_ws(" ", "answered", "thread"), F.lit(r"(\S+)"), 1).alias("references"),
+        body.alias("body"),
     )
 
 
