@@ -271,6 +271,7 @@ EMBEDDED_CHARS, PROMPT_CHARS, REPLY_CHARS = 4000, 12_000, 4000
 REASON_CHARS, PUBLISHER_CHARS, MAX_KEYWORDS = 200, 120, 6
 # Bounds and patterns of list requests.
 SCORE_RANGE, PAGE_SIZE_RANGE, PAGE_SIZE = (0, 100), (5, 100), 25
+MENU_PUBLISHERS = 12
 COUNTRY_CODE_PATTERN, FEED_CODE_PATTERN = "[A-Z]{2}", "[a-z0-9_-]{1,64}"
 LIST_ORDERS = ["score", "recent", "salary"]
 MAX_LISTED, MAX_PUBLISHER_CHARS = 20, 120

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions import fixed_values as fv
 from ..functions.text import score_band, strip
+from ..session import shared_folder
 
 
 def _number(low: int, high: int, default: int):
@@ -119,6 +120,48 @@ def page_of(rows: DataFrame, order: list[Column], page: int, per_page: int) -> D
     return rows.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
 
 
+class Pages:
+    """Rows in the order of a list, stored in ranges, so that a page reads the ranges it lies in and no others.
+
+    The rows are dealt by range over `order`, which has to be total, and written with a folder per range. The number of
+    rows of each range (RANGES at most) is kept; page p is found by its position among them.
+    """
+
+    RANGES = 200
+
+    def __init__(self, rows: DataFrame, order: list[Column], path: str | None = None, ranges: int | None = None):
+        self.spark, self.order, self.path = rows.sparkSession, order, path or shared_folder(rows.sparkSession)
+        self.schema = rows.schema
+        dealt = rows.repartitionByRange(ranges or self.RANGES, *order).withColumn("range", F.spark_partition_id())
+        dealt.write.partitionBy("range").parquet(self.path)
+        counted = self._read().groupBy("range").count().orderBy("range").collect()
+        self.starts, self.total = {}, 0
+        for r in counted:
+            self.starts[r["range"]] = self.total
+            self.total += r["count"]
+
+    def _read(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema.toDDL()}, `range` INT").parquet(self.path)
+
+    def last(self, per_page: int) -> int:
+        return max(1, -(-self.total // per_page))
+
+    def around(self, page: int, per_page: int) -> tuple[DataFrame, int]:
+        """The rows of the ranges that a page lies in, and how many rows come before them."""
+        first, after = (page - 1) * per_page, page * per_page
+        ends = [*self.starts.values(), self.total][1:]
+        hit = [r for (r, start), end in zip(self.starts.items(), ends, strict=True) if start < after and end > first]
+        return self._read().where(F.col("`range`").isin(hit)).drop("range"), self.starts[hit[0]] if hit else 0
+
+    def page(self, page: int, per_page: int) -> DataFrame:
+        """The rows of a page with their place `n` in the whole list; none beyond the last page."""
+        rows, before = self.around(page, per_page)
+        skipped = (page - 1) * per_page - before
+        shown = rows.orderBy(*self.order).offset(skipped).limit(per_page)
+        place = F.row_number().over(Window.orderBy(*self.order))  # of a page's rows
+        return shown.withColumn("n", (place + before + skipped).cast("long"))
+
+
 def page_summary(rows: DataFrame, per_page: int) -> DataFrame:
     total = F.count("*")
     return rows.agg(total.alias("total"), F.greatest(F.lit(1), F.ceil(total / per_page)).alias("page_count"))
@@ -144,8 +187,8 @@ def match_detail(matches: DataFrame, requirements: DataFrame, links: DataFrame,
     )
 
 
-def filter_menus(matches: DataFrame, links: DataFrame) -> DataFrame:
-    """(menu, value, n): countries of scored postings, feeds in use, the twelve main publishers."""
+def filter_menus(matches: DataFrame, links: DataFrame, most: int = fv.MENU_PUBLISHERS) -> DataFrame:
+    """(menu, value, n): countries of scored postings, feeds in use, the `most` main publishers."""
     countries = matches.where("country IS NOT NULL AND score IS NOT NULL").groupBy(F.col("country").alias("value")).agg(F.count("*").alias("n"))
     feeds = links.groupBy(F.col("source").alias("value")).agg(F.count("*").alias("n"))
     publishers = (
@@ -154,7 +197,7 @@ def filter_menus(matches: DataFrame, links: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"))
         .where("n >= 3")
         .orderBy(F.desc("n"), "value")
-        .limit(12)
+        .limit(most)
     )
     labelled = [df.select(F.lit(menu).alias("menu"), "value", "n") for menu, df in (("country", countries), ("feed", feeds), ("publisher", publishers))]
     return labelled[0].unionByName(labelled[1]).unionByName(labelled[2])
@@ -323,7 +366,7 @@ def run_summary(runs: DataFrame, judged: DataFrame, threshold: int) -> DataFrame
         F.count("score").alias("scored"),
         F.count_if(F.col("score") >= threshold).alias("above_threshold"),
     )
-    return feeds.withColumn("one", F.lit(1)).join(scores.withColumn("one", F.lit(1)), "one").drop("one")
+    return feeds.select("*", *[scores.select(n).scalar().alias(n) for n in scores.columns])
 
 
 def canonical_json(payload: Column) -> Column:

@@ -5,7 +5,7 @@ Both keep the stored language and the raw text, so that comparisons do not depen
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -22,35 +22,38 @@ COLUMNS = (
 ).split()
 
 
-def canonical(t: Tables) -> DataFrame:
+def canonical(t: Tables, columns: tuple[str, ...] | None = None, where: Column | None = None) -> DataFrame:
+    """The canonical postings, or only some of their columns.
+
+    Derived columns are computed once, behind a step that the optimizer does not look through. So a query names the
+    `columns` it needs, and what can be asked of the posting itself comes as `where`: both reach the file scan.
+    """
     c = F.col
     structured = salary.from_structured(c("salary_min"), c("salary_max"), c("salary_currency"), c("salary_period"))
-    rows = view(t, "posting").withColumns(
+    rows = view(t, "posting")
+    rows = (rows if where is None else rows.where(where)).withColumns(
         {
             "place": rules.split_location(c("location"), c("country")),
             "pay": salary.choose(structured, c("salary_text"), c("country")),
             "location_raw": c("location"),
         }
     )
-    kept = [c(n) for n in COLUMNS if n != "title"]
-    canon = rows.select(
-        *kept,
-        text.tidy_title(c("title")).alias("title"),
-        text.company_key(c("company")).alias("company_normalized"),
-        "place.city", "place.region", "place.country",
-        rules.work_mode(c("title"), c("location"), c("is_remote"), c("description")).alias("work_mode"),
-        rules.contract_type(c("contract_hint"), c("title"), c("description")).alias("contract_type"),
-        rules.seniority(c("seniority_hint"), c("title")).alias("seniority"),
-        rules.job_family(text.tidy_title(c("title"))).alias("job_family"),
-        c("pay.is_stated").alias("salary_is_stated"),
-        c("pay.min").alias("salary_min"), c("pay.max").alias("salary_max"),
-        c("pay.currency").alias("salary_currency"), c("pay.period").alias("salary_period"),
-        c("pay.eur_year_max").alias("salary_eur_year_max"),
-        (c("id") % 10 != 9).alias("is_active"),
-        F.coalesce("posted_at", F.lit("2024-02-01").cast("timestamp")).alias("first_seen_at"),
-        F.when(c("quality").isNull(), 0).when(c("id") % 4 == 0, 2).otherwise(1).alias("reached_stage"),
-    )
-    return evaluate_once(canon)
+    canon = {
+        **{n: c(n) for n in COLUMNS},
+        "title": text.tidy_title(c("title")),
+        "company_normalized": text.company_key(c("company")),
+        **{n: c(f"place.{n}") for n in ("city", "region", "country")},
+        "work_mode": rules.work_mode(c("title"), c("location"), c("is_remote"), c("description")),
+        "contract_type": rules.contract_type(c("contract_hint"), c("title"), c("description")),
+        "seniority": rules.seniority(c("seniority_hint"), c("title")),
+        "job_family": rules.job_family(text.tidy_title(c("title"))),
+        "salary_is_stated": c("pay.is_stated"),
+        **{f"salary_{n}": c(f"pay.{n}") for n in ("min", "max", "currency", "period", "eur_year_max")},
+        "is_active": c("id") % 10 != 9,
+        "first_seen_at": F.coalesce("posted_at", F.lit("2024-02-01").cast("timestamp")),
+        "reached_stage": F.when(c("quality").isNull(), 0).when(c("id") % 4 == 0, 2).otherwise(1),
+    }
+    return evaluate_once(rows.select(*[canon[n].alias(n) for n in columns or canon]))
 
 
 def duck_canonical() -> str:

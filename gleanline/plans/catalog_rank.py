@@ -186,8 +186,8 @@ def refresh_vectors(t: Tables):
 
 def similarities(t: Tables):
     """(vec_id, label, semantic): every vector against vector 0, the profile."""
-    profile = t.embeddings.where("vec_id = 0").select(F.lit(0).alias("profile_id"), c("embedding").alias("own"))
-    both = t.embeddings.withColumn("profile_id", F.lit(0)).join(profile, "profile_id")
+    own = t.embeddings.where("vec_id = 0").select("embedding").scalar()
+    both = t.embeddings.withColumn("own", own)
     return both.select("vec_id", "label", retrieve.cosine(c("embedding"), c("own")).alias("semantic"))
 
 

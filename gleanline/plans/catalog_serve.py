@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import salary
 from ..functions import fixed_values as fv
 from ..operators import serve
+from ..session import cut_lineage
 from . import twin
 from .canonical import canonical, duck_canonical
 from .catalog_filter import duck_judged, judged
@@ -35,9 +36,15 @@ _LISTED = (
 )
 
 
+def _listed(t: Tables):
+    """The requested rows; the score is asked of the postings before anything is derived."""
+    needed = ("id", "score", "title", "work_mode", "country", "status", "is_active", "reached_stage", "salary_eur_year_max")
+    return serve.list_matches(canonical(t, needed, c("score") >= REQUEST.min_score), links(t), REQUEST)
+
+
 @query("w01_match_list", f"WITH {duck_canonical()} SELECT id, score, title, work_mode, country FROM canon WHERE {_LISTED}")
 def match_list(t: Tables):
-    return serve.list_matches(canonical(t), links(t), REQUEST).select("id", "score", "title", "work_mode", "country")
+    return _listed(t).select("id", "score", "title", "work_mode", "country")
 
 
 @query(
@@ -62,10 +69,29 @@ def sort_modes(t: Tables):
     "SELECT id, total, page_count FROM (SELECT * FROM r ORDER BY salary_eur_year_max DESC NULLS LAST, score DESC NULLS LAST, id OFFSET 10 LIMIT 10) p, s",
 )
 def page(t: Tables):
-    rows = serve.list_matches(canonical(t), links(t), REQUEST)
+    rows = cut_lineage(_listed(t))  # two questions about the same rows
     summary = serve.page_summary(rows, REQUEST.per_page)
     shown = serve.page_of(rows, REQUEST.order(), REQUEST.page, REQUEST.per_page)
-    return shown.select("id", F.lit(1).alias("one")).join(summary.withColumn("one", F.lit(1)), "one").drop("one")
+    return shown.select("id", *[summary.select(n).scalar().alias(n) for n in ("total", "page_count")])
+
+
+_DEEP = "SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n, count(*) OVER () AS total FROM orders"
+
+
+@query(
+    "w03_deep_pages",
+    f"SELECT id, CAST(n AS BIGINT) AS n, page FROM (SELECT id, n, CAST((n - 1) // 25 + 1 AS INT) AS page, CAST((total - 1) // 25 + 1 AS INT) AS last FROM ({_DEEP})) WHERE page IN (1, 100, last)",
+)
+def deep_pages(t: Tables):
+    """The first, the hundredth and the last page of all orders, each read from its own range."""
+    rows = t.orders.select(c("o_orderkey").alias("id"), "o_totalprice")
+    pages = serve.Pages(rows, [F.desc("o_totalprice"), c("id")])
+    wanted = sorted({1, 100, pages.last(25)})
+    shown = [pages.page(p, 25).withColumn("page", F.lit(p)) for p in wanted]
+    out = shown[0]
+    for one in shown[1:]:
+        out = out.unionByName(one)
+    return out.select("id", "n", "page")
 
 
 @query(
@@ -83,7 +109,7 @@ def posting_feeds(t: Tables):
     f"WITH {duck_canonical()} SELECT c.id, title, score, work_mode, coalesce(nullif(trim(publisher), ''), source) AS sources, quality AS must_have FROM canon c WHERE c.id = 0",
 )
 def match_detail(t: Tables):
-    rows = canonical(t).select("id", "title", "score", "work_mode")
+    rows = canonical(t, ("id", "title", "score", "work_mode"), c("id") == 0)
     requirements = t.labels.select(c("doc_id").alias("id"), c("quality").alias("must_have"))
     out = serve.match_detail(rows, requirements, links(t), 0)
     return out.withColumn("sources", F.array_join("sources", ","))
@@ -96,7 +122,7 @@ def match_detail(t: Tables):
       UNION ALL SELECT * FROM (SELECT 'publisher', publisher, count(*) AS n FROM canon WHERE publisher IS NOT NULL GROUP BY 2 HAVING count(*) >= 3 ORDER BY n DESC, publisher LIMIT 12)""",
 )
 def filter_menus(t: Tables):
-    return serve.filter_menus(canonical(t), links(t))
+    return serve.filter_menus(canonical(t, ("country", "score")), links(t))
 
 
 @query(
@@ -104,7 +130,7 @@ def filter_menus(t: Tables):
     f"WITH {duck_canonical()} SELECT count_if(status = 'new') AS new, count_if(status = 'shortlist') AS shortlist, count_if(status = 'applied') AS applied, count(*) AS total FROM canon WHERE reached_stage >= 1 AND score IS NOT NULL",
 )
 def counters(t: Tables):
-    return serve.counters(canonical(t))
+    return serve.counters(canonical(t, ("status", "score", "reached_stage")))
 
 
 @query(
