@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import forget, store
 
 #: Rarity is known for so many hash buckets of words, whatever the size of the corpus.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 HASH_BITS = 55
 
 
@@ -42,7 +42,7 @@ def _bucket(hashed: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Array with the rank of each bucket: four times the binary logarithm of its occurrences in `docs`, cut to a whole.
+    """A byte for each bucket: four times the binary logarithm of its occurrences in `docs`, cut to a whole.
 
     The driver gets at most BUCKETS small numbers.
     """
@@ -52,10 +52,10 @@ def rarity(docs: DataFrame) -> Column:
         .groupBy(_bucket(F.xxhash64("word")).alias("bucket"))
         .agg(F.count("*").alias("n"))
     )
-    ranks = [0] * BUCKETS
-    for bucket, n in counted.collect():
-        ranks[bucket] = int(4 * math.log2(n))
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+    ranks = bytearray(BUCKETS)
+    for bucket, n in counted.toLocalIterator():
+        ranks[bucket] = min(127, int(4 * math.log2(n)))
+    return F.lit(bytes(ranks))
 
 
 def tokens(line: Column, ranks: Column) -> Column:
@@ -64,7 +64,8 @@ def tokens(line: Column, ranks: Column) -> Column:
 
     def ranked(w: Column) -> Column:
         h = F.xxhash64(w)
-        return F.shiftleft(F.element_at(ranks, _bucket(h) + 1).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(mask))
+        rank = F.ascii(F.substring(ranks, _bucket(h) + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(rank.cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(mask))
 
     return F.sort_array(F.array_distinct(F.transform(words(line), ranked)))
 
