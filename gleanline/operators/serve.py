@@ -349,8 +349,8 @@ def batch_status(runs: DataFrame) -> DataFrame:
     return runs.groupBy("batch_id").agg(status.alias("status"))
 
 
-def run_summary(runs: DataFrame, judged: DataFrame, threshold: int) -> DataFrame:
-    """One row over the whole run: feeds, failures, counts, scores."""
+def run_summary(runs: DataFrame, judged: DataFrame, usage: DataFrame, threshold: int) -> DataFrame:
+    """One row over the whole run: feeds, failures, counts (updated: fetched but not new), scores and tokens."""
     feeds = runs.groupBy("source").agg(
         F.max((F.col("status") == "failed").cast("int")).alias("failed"),
         F.sum("jobs_fetched").alias("fetched"),
@@ -360,13 +360,15 @@ def run_summary(runs: DataFrame, judged: DataFrame, threshold: int) -> DataFrame
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("failed") == 1, F.col("source")))), ",").alias("failed_feeds"),
         F.sum("fetched").alias("fetched"),
         F.sum("new").alias("new"),
+        (F.sum("fetched") - F.sum("new")).alias("updated"),
     )
+    tokens = usage.agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
     scores = judged.agg(
         F.count("*").alias("examined"),
         F.count("score").alias("scored"),
         F.count_if(F.col("score") >= threshold).alias("above_threshold"),
     )
-    return feeds.select("*", *[scores.select(n).scalar().alias(n) for n in scores.columns])
+    return feeds.select("*", *[df.select(n).scalar().alias(n) for df in (scores, tokens) for n in df.columns])
 
 
 def canonical_json(payload: Column) -> Column:

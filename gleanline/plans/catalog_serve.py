@@ -276,12 +276,13 @@ def usage_to_write(t: Tables):
 @query(
     "w19_run_summary",
     f"WITH {duck_judged()}, v_run AS ({duck('run')}) "
-    "SELECT count(DISTINCT source) AS feeds, array_to_string(list_sort(list(DISTINCT source) FILTER (status = 'failed')), ',') AS failed_feeds, CAST(sum(jobs_fetched) AS BIGINT) AS fetched, CAST(sum(jobs_new) AS BIGINT) AS new, "
+    "SELECT count(DISTINCT source) AS feeds, array_to_string(list_sort(list(DISTINCT source) FILTER (status = 'failed')), ',') AS failed_feeds, CAST(sum(jobs_fetched) AS BIGINT) AS fetched, CAST(sum(jobs_new) AS BIGINT) AS new, CAST(sum(jobs_fetched - jobs_new) AS BIGINT) AS updated, "
+    f"(SELECT CAST(sum(input_tokens + output_tokens) AS BIGINT) FROM ({duck('usage')})) AS tokens, "
     "(SELECT count(*) FROM judged WHERE kind IS NULL) AS examined, (SELECT count(score) FROM judged WHERE kind IS NULL) AS scored, (SELECT count(*) FROM judged WHERE kind IS NULL AND score >= 60) AS above_threshold FROM v_run",
 )
 def run_summary(t: Tables):
     passed = judged(t).where("rejected IS NULL")
-    return serve.run_summary(view(t, "run"), passed, 60)
+    return serve.run_summary(view(t, "run"), passed, view(t, "usage"), 60)
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..functions import fixed_values as fv
 from ..operators import calibrate, serve
+from ..session import cut_lineage
 from ..sources import documents, feeds, markup, raw, tables
 from . import twin
 from .registry import Tables, query
@@ -429,6 +430,28 @@ def feed_metrics(t: Tables):
     return metrics(t)
 
 
+_RUN_ROWS = """
+SELECT d.doc_id, d.source, CASE WHEN d.doc_id % 3 = 0 THEN 'new' ELSE 'key' END AS matched_by, d.doc_id % 97 = 3 AS failed, d.doc_id % 2 AS api_calls,
+  TIMESTAMP '2024-01-01 00:00:00' + (d.doc_id % 1000) * INTERVAL '1' SECOND AS fetched_at, 'line ' || CAST(d.doc_id % 10 AS STRING) AS error,
+  d.doc_id = f.first_id AS is_first
+FROM {documents} d JOIN (SELECT text, min(doc_id) AS first_id FROM {documents} GROUP BY text) f ON f.text = d.text
+"""
+
+
+@query(
+    "s20_feed_run",
+    f"""SELECT source, count(*) AS fetched, count_if(matched_by = 'new') AS new, count_if(NOT is_first) AS duplicate, CAST(sum(api_calls) AS BIGINT) AS api_calls,
+      (epoch_us(max(fetched_at)) - epoch_us(min(fetched_at))) / 1000000.0 AS elapsed, min(error) FILTER (failed) AS error, CASE WHEN count_if(failed) > 0 THEN 'failed' ELSE 'ok' END AS status
+    FROM ({_RUN_ROWS.replace('{documents}', 'documents')}) GROUP BY 1""",
+)
+def feed_run(t: Tables):
+    """Metrics taken while the day's rows are written."""
+    feeds = sorted(r.source for r in t.documents.where("source IS NOT NULL").select("source").distinct().collect())
+    run = raw.FeedRun(feeds)
+    cut_lineage(run.watch(t.sql(_RUN_ROWS)))
+    return run.rows(t.spark)
+
+
 _GROUPS = "(SELECT count(DISTINCT text) FROM documents)"
 
 

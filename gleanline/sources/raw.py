@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -125,6 +125,46 @@ def feed_metrics(postings: DataFrame) -> DataFrame:
     )
 
 
+class FeedRun:
+    """Metrics of each feed, taken while its rows pass on their way to a table; no second look at them.
+
+    `feeds` are the names of the configured feeds. Rows need source, group_id, matched_by, fetched_at, failed, error and
+    api_calls; a row that is not the first of its group (`is_first` false) is a duplicate. Rows of other feeds are counted
+    under no name.
+    """
+
+    FIELDS = "source string, fetched long, new long, duplicate long, api_calls long, elapsed double, error string, status string"
+
+    def __init__(self, feeds: list[str], name: str = "feed run"):
+        self.feeds, self.seen = feeds, Observation(name)
+
+    def watch(self, rows: DataFrame) -> DataFrame:
+        """`rows`, unchanged; the metrics are there once an action has run over them."""
+        out = []
+        for k, feed in enumerate(self.feeds):
+            own = F.col("source") == feed
+            at = F.when(own, F.col("fetched_at"))
+            out += [
+                F.count_if(own).alias(f"fetched_{k}"),
+                F.count_if(own & (F.col("matched_by") == "new")).alias(f"new_{k}"),
+                F.count_if(own & ~F.col("is_first")).alias(f"duplicate_{k}"),
+                F.coalesce(F.sum(F.when(own, F.col("api_calls"))), F.lit(0)).cast("long").alias(f"api_calls_{k}"),
+                ((F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))) / 1_000_000).alias(f"elapsed_{k}"),
+                F.min(F.when(own & F.col("failed"), F.col("error"))).alias(f"error_{k}"),
+                F.count_if(own & F.col("failed")).alias(f"failed_{k}"),
+            ]
+        return rows.observe(self.seen, *out)
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """One row for each configured feed, those without a posting too."""
+        found = self.seen.get
+        names = ("fetched", "new", "duplicate", "api_calls", "elapsed", "error")
+        table = [
+            (feed, *[found[f"{n}_{k}"] for n in names], "failed" if found[f"failed_{k}"] else "ok") for k, feed in enumerate(self.feeds)
+        ]
+        return spark.createDataFrame(table, self.FIELDS)
+
+
 def share_duplicates(metrics: DataFrame, groups: Column) -> DataFrame:
     """Spread the batch's duplicates over feeds in proportion to what each fetched (half-even)."""
     total = metrics.agg(F.sum("fetched")).scalar()
