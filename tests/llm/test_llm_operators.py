@@ -90,6 +90,30 @@ def components(items: dict, linked) -> dict:
     return {k: find(k) for k in items}
 
 
+def test_like_lines_are_not_paired_with_each_other(spark, monkeypatch):
+    """A group of variants of a repeated line: each meets that line, not all others."""
+    rng = random.Random(8)
+    line = [f"word{i}" for i in range(40)]
+    rows = [(0, " ".join(line)), (1, " ".join(line))]
+    for i in range(2, 300):
+        other = list(line)
+        for k in rng.sample(range(40), 2):
+            other[k] = f"new{i}x{k}"
+        rows.append((i, " ".join(other)))
+    rows.append((300, "quite another line of words"))
+    kept, real = {}, line_dedup.store
+
+    def counted(df):
+        out = real(df)
+        kept[tuple(df.columns)] = kept.get(tuple(df.columns), 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "store", counted)
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(0 < i < 300) for i in range(301)}
+    assert kept["a", "b", "shared"] <= 300
+
+
 @pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
 def test_near_groups(docs, empty, rows, width, percent, monkeypatch):
     monkeypatch.setattr(near_dedup, "CELL", 8)
