@@ -81,11 +81,17 @@ def _indexed(n: Column, percent: int) -> Column:
 
 
 def _signature(t: Column) -> Column:
-    """64 bits, each the parity of the words that hash to it: sets differ in at least as many words as in bits."""
+    """128 bits, each the parity of the words that hash to it: sets differ in at least as many words as in bits."""
     one = F.lit(1).cast("long")
-    return F.aggregate(
-        t, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int")))
-    )
+
+    def half(k: int) -> Column:
+        def put(acc: Column, x: Column) -> Column:
+            bit = F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))
+            return F.when(x.bitwiseAND(64) == 64 * k, acc.bitwiseXOR(bit)).otherwise(acc)
+
+        return F.aggregate(t, F.lit(0).cast("long"), put)
+
+    return F.struct(half(0).alias("low"), half(1).alias("high"))
 
 
 def _room(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -97,7 +103,8 @@ def _alike(percent: int) -> Column:
     """What sizes and signatures of sets a and b allow."""
     a, b = F.col("n_a"), F.col("n_b")
     long_enough = F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    return long_enough & (F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) <= _room(a, b, percent))
+    differ = sum(F.bit_count(F.col(f"s_a.{half}").bitwiseXOR(F.col(f"s_b.{half}"))) for half in ("low", "high"))
+    return long_enough & (differ <= _room(a, b, percent))
 
 
 def _side(entries: DataFrame, side: str, *more: str) -> DataFrame:
