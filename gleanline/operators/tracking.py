@@ -28,13 +28,13 @@ def known_messages(context: DataFrame, events: DataFrame) -> DataFrame:
     """
     message_id = F.nullif(F.get_json_object("payload", "$.message_id"), F.lit(""))
     seen = events.where("event_type = 'email_received'").select("application_id", message_id.alias("message_id"))
-    return seen.where("message_id IS NOT NULL").join(context.select("application_id"), "application_id", "left_semi").distinct()
+    return seen.where("message_id IS NOT NULL").join(context.select("application_id").hint("merge"), "application_id", "left_semi").distinct()
 
 
 def in_thread(messages: DataFrame, known: DataFrame) -> DataFrame:
     """(application_id, message_id) pairs where the message refers to a known one of the application."""
     refers = messages.select("message_id", "sent_at", F.explode("references").alias("known_id"))
-    return known.select("application_id", F.col("message_id").alias("known_id")).join(refers, "known_id").drop("known_id").distinct()
+    return known.select("application_id", F.col("message_id").alias("known_id")).join(refers.hint("merge"), "known_id").drop("known_id").distinct()
 
 
 def name_tokens(company_normalized: Column) -> Column:
@@ -60,24 +60,24 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(_GRAM))))
 
 
-def name_hits(applications: DataFrame, messages: DataFrame) -> DataFrame:
-    """(token, hay): every telling name word inside every message heading, as an equi-join.
+def name_hits(applications: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, word): every telling name word inside every word of the message headings, as an equi-join.
 
-    Distinct words meet distinct headings on one four-letter piece of the word, the piece that
-    occurs in the fewest headings; only real substrings survive. Repeated names and headings cost
-    nothing, common words do not flood the join.
+    `words` has the column word. Neither side has blanks, so a name word is inside a heading if it is inside one of the
+    heading's words. Distinct words meet on one four-letter piece of the name word, the piece that occurs in the fewest
+    words; only real substrings survive. Pieces are many times their words, which the planner does not know: these
+    joins sort, so that none of them passes through the driver.
     """
     tokens = applications.select(F.explode(name_tokens(F.col("company_normalized"))).alias("token")).distinct()
-    hays = messages.select(haystack(F.col("sender"), F.col("subject")).alias("hay")).distinct()
-    pieces = hays.select("hay", F.explode(_grams(F.col("hay"))).alias("gram"))
+    pieces = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram"))
     frequency = pieces.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = (
         tokens.select("token", F.explode(_grams(F.col("token"))).alias("gram"))
-        .join(frequency, "gram", "left")
+        .join(frequency.hint("merge"), "gram", "left")
         .groupBy("token")
         .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     )
-    return rarest.join(pieces, "gram").where(F.contains("hay", "token")).select("token", "hay")
+    return rarest.join(pieces.hint("merge"), "gram").where(F.contains("word", "token")).select("token", "word")
 
 
 def correlate(context: DataFrame, known: DataFrame, messages: DataFrame) -> DataFrame:
@@ -87,13 +87,14 @@ def correlate(context: DataFrame, known: DataFrame, messages: DataFrame) -> Data
     application applies its own date floor.
     """
     app = context.select("application_id", "company_normalized", "since")
-    keyed = messages.select("message_id", "sent_at", haystack(F.col("sender"), F.col("subject")).alias("hay"))
+    hay = F.array_distinct(F.split(haystack(F.col("sender"), F.col("subject")), " "))
+    keyed = messages.select("message_id", "sent_at", F.explode(hay).alias("word")).where(F.length("word") >= _GRAM)
     by_name = (
         app.select("application_id", "since", F.explode(name_tokens(F.col("company_normalized"))).alias("token"))
-        .join(name_hits(app, messages), "token")
-        .join(keyed, "hay")
+        .join(name_hits(app, keyed).hint("merge"), "token")
+        .join(keyed.hint("merge"), "word")
     )
-    by_thread = in_thread(messages, known).join(app.select("application_id", "since"), "application_id")
+    by_thread = in_thread(messages, known).join(app.select("application_id", "since").hint("merge"), "application_id")
     wanted = ["application_id", "message_id", "sent_at", "since"]
     found = by_name.select(*wanted).unionByName(by_thread.select(*wanted))
     return found.where(F.col("sent_at") >= F.col("since").cast("timestamp")).drop("since").distinct()

@@ -268,3 +268,23 @@ def test_java_does_not_justify_javascript(spark):
 def test_request_parameters_are_validated():
     f = serve.MatchFilters.parse({"min": "500", "mode": "remote,moon", "country": "it,1,usa", "page": "-3", "per": "1000", "sort": "x"})
     assert (f.min_score, f.work_modes, f.countries, f.page, f.per_page, f.sort) == (100, ("remote",), ("IT",), 1, 100, "score")
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def _applications(spark):
+    return spark.createDataFrame([(1, "acme widgets", "2024-01-01"), (2, "o'hara-sons", "2024-01-01")], "application_id long, company_normalized string, since string").withColumn("since", F.to_date("since"))
+
+
+def _messages(spark):
+    rows = [("a", "HR <jobs@acmegroup.example>", "Hi", []), ("b", "x@y.example", "Re: O'Hara-Sons & co", []), ("c", "x@y.example", "no one", ["a"]), ("d", "x@y.example", "wid gets", [])]
+    return spark.createDataFrame(rows, "message_id string, sender string, subject string, references array<string>").withColumn("sent_at", now())
+
+
+def test_correlation_sends_no_pieces_through_the_driver(spark):
+    known = spark.createDataFrame([(2, "a")], "application_id long, message_id string")
+    found = tracking.correlate(_applications(spark), known, _messages(spark))
+    assert "Broadcast" not in _plan(found)
+    assert {(r.application_id, r.message_id) for r in found.collect()} == {(1, "a"), (2, "b"), (2, "c")}
