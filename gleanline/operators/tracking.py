@@ -103,7 +103,7 @@ def correlate(context: DataFrame, known: DataFrame, messages: DataFrame) -> Data
 def unseen(related: DataFrame, known: DataFrame) -> DataFrame:
     """Messages not read before for their application; a message without id is always new."""
     anonymous = related.where(F.coalesce(F.col("message_id"), F.lit("")) == "")
-    named = related.where("message_id <> ''").join(known, ["application_id", "message_id"], "left_anti")
+    named = related.where("message_id <> ''").join(known.hint("merge"), ["application_id", "message_id"], "left_anti")
     return named.unionByName(anonymous)
 
 

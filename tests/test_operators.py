@@ -1,6 +1,7 @@
 """Operators on small fixtures: invariants, brute-force checks, plan shape."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -288,3 +289,11 @@ def test_correlation_sends_no_pieces_through_the_driver(spark):
     found = tracking.correlate(_applications(spark), known, _messages(spark))
     assert "Broadcast" not in _plan(found)
     assert {(r.application_id, r.message_id) for r in found.collect()} == {(1, "a"), (2, "b"), (2, "c")}
+
+
+def test_unseen_sends_no_known_messages_through_the_driver(spark):
+    known = spark.createDataFrame([(1, "a")], "application_id long, message_id string")
+    related = spark.createDataFrame([(1, "a"), (1, "b"), (1, ""), (2, "a")], "application_id long, message_id string")
+    fresh = tracking.unseen(related, known)
+    assert "Broadcast" not in _plan(fresh)
+    assert sorted(tuple(r) for r in fresh.collect()) == [(1, ""), (1, "b"), (2, "a")]
