@@ -297,3 +297,11 @@ def test_unseen_sends_no_known_messages_through_the_driver(spark):
     fresh = tracking.unseen(related, known)
     assert "Broadcast" not in _plan(fresh)
     assert sorted(tuple(r) for r in fresh.collect()) == [(1, ""), (1, "b"), (2, "a")]
+
+
+def test_probes_do_not_go_through_the_driver(spark):
+    prints = spark.createDataFrame([("x", v) for v in _clusters(3, 20, 3, 4)], "block string, simhash long").distinct()
+    near = resolve.near_prints(prints, prints, F.col("a_simhash") < F.col("b_simhash"))
+    near.collect()  # the plan that ran, with sizes known
+    joins = re.findall(r"(\w+Join)(?:\(skew=true\))? \[block#\d+, band#\d+, slot#\d+, part#\d+\]", _plan(near))
+    assert set(joins) == {"SortMergeJoin"}
