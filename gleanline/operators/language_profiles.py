@@ -62,13 +62,18 @@ def profiles(labelled: DataFrame, places: int = PLACES) -> DataFrame:
 def distances(texts: DataFrame, known: DataFrame, id_column: str, text_column: str, places: int = PLACES) -> DataFrame:
     """(id, lang, distance) of each text of LEAST_CHARS characters to each language: mean displacement, 0 to 1.
 
-    An n-gram that the language's profile lacks counts as far as can be.
+    An n-gram that the language's profile lacks counts as far as can be. Texts are spread by id once, before they are
+    cut up: words, n-grams and places of a text are counted where it lies, so only texts are shuffled. `known` holds
+    `places` rows for each language and goes to every task.
     """
-    own = _ranked(counts(texts.where(F.length(text_column) >= LEAST_CHARS), id_column, text_column), id_column, places)
-    sizes = own.groupBy(id_column).agg(F.count("*").alias("size"))
-    met = own.withColumnRenamed("place", "own").join(known, "gram")
-    near = met.groupBy(id_column, "lang").agg(F.sum(F.lit(places) - F.abs(F.col("own") - F.col("place"))).alias("nearness"))
-    return near.join(sizes, id_column).select(id_column, "lang", (1 - F.col("nearness") / (F.col("size") * places)).alias("distance"))
+    spread = texts.where(F.length(text_column) >= LEAST_CHARS).select(id_column, text_column).repartition(id_column)
+    own = _ranked(counts(spread, id_column, text_column), id_column, places).withColumnRenamed("place", "own")
+    met = own.join(F.broadcast(known), "gram", "left")
+    near = F.sum(F.lit(places) - F.abs(F.col("own") - F.col("place")))
+    by_lang = met.groupBy(id_column, "lang").agg(near.alias("nearness"), F.max("own").alias("last"))
+    # A text's places are numbered without gaps, so the last one is their number.
+    sized = by_lang.withColumn("size", F.max("last").over(Window.partitionBy(id_column))).where("lang IS NOT NULL")
+    return sized.select(id_column, "lang", (1 - F.col("nearness") / (F.col("size") * places)).alias("distance"))
 
 
 def detect(texts: DataFrame, known: DataFrame, id_column: str, text_column: str, farthest: float = FARTHEST, margin: float = MARGIN) -> DataFrame:
@@ -77,14 +82,8 @@ def detect(texts: DataFrame, known: DataFrame, id_column: str, text_column: str,
     A language without a common n-gram is as far as can be.
     """
     far = distances(texts, known, id_column, text_column)
-    best = far.groupBy(id_column).agg(F.min_by(F.struct("lang", "distance"), F.struct("distance", "lang")).alias("first"), F.count("*").alias("langs"))
-    second = (
-        far.join(best.select(id_column, F.col("first.lang").alias("taken")), id_column)
-        .where("lang <> taken")
-        .groupBy(id_column)
-        .agg(F.min("distance").alias("next"))
-    )
-    judged = best.join(second, id_column, "left").withColumn("next", F.coalesce("next", F.lit(1.0)))
-    sure = (F.col("first.distance") <= farthest) & (F.col("next") > F.col("first.distance") * (1 + margin))
-    found = judged.select(id_column, F.when(sure, F.col("first.lang")).alias("lang"), F.col("first.distance").alias("distance"))
+    by_distance = Window.partitionBy(id_column).orderBy("distance", "lang")
+    judged = far.withColumn("next", F.coalesce(F.lead("distance").over(by_distance), F.lit(1.0))).withColumn("rank", F.row_number().over(by_distance))
+    sure = (F.col("distance") <= farthest) & (F.col("next") > F.col("distance") * (1 + margin))
+    found = judged.where("rank = 1").select(id_column, F.when(sure, F.col("lang")).alias("lang"), "distance")
     return texts.select(id_column).join(found, id_column, "left")

@@ -48,3 +48,9 @@ def test_a_close_call_is_null(spark):
 def test_grams_of_a_word(spark):
     row = spark.range(1).select(language_profiles.grams(F.lit("àb")).alias("g")).first()
     assert row.g == ["à", "b", " à", "àb", "b ", " àb", "àb "]
+
+
+def test_only_texts_are_shuffled(spark, known):
+    rows = spark.createDataFrame(list(OTHER.items()), "id string, text string")
+    plan = language_profiles.distances(rows, known, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
