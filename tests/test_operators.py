@@ -305,3 +305,13 @@ def test_probes_do_not_go_through_the_driver(spark):
     near.collect()  # the plan that ran, with sizes known
     joins = re.findall(r"(\w+Join)(?:\(skew=true\))? \[block#\d+, band#\d+, slot#\d+, part#\d+\]", _plan(near))
     assert set(joins) == {"SortMergeJoin"}
+
+
+def test_first_feed_does_not_depend_on_the_order_of_rows(spark):
+    applications = spark.createDataFrame([(1, "submitted", 50, "a_auto")], "match_id long, status string, score long, tier string")
+    links = [(1, "src", "LinkedIn", 7, 1), (1, "src", None, 7, 2), (1, "src", "Indeed", 7, 3)]
+    for rows in (links, links[::-1]):
+        frame = spark.createDataFrame(rows, "match_id long, source string, publisher string, fetched_at int, n int").coalesce(1)
+        for arrival, feed in (((), "Indeed"), (("n",), "LinkedIn")):
+            found = serve.response_rates(applications, frame, arrival).where("dimension = 'feed'").collect()
+            assert [r.label for r in found] == [feed]
