@@ -50,7 +50,8 @@ def test_grams_of_a_word(spark):
     assert row.g == ["à", "b", " à", "àb", "b ", " àb", "àb "]
 
 
-def test_only_texts_are_shuffled(spark, known):
+def test_only_texts_are_shuffled(spark):
+    known = spark.createDataFrame([("en", "the", 1)], "lang string, gram string, place int")
     rows = spark.createDataFrame(list(OTHER.items()), "id string, text string")
     plan = language_profiles.distances(rows, known, "id", "text")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 1
