@@ -1,5 +1,6 @@
 """Operators on small fixtures: invariants, brute-force checks, plan shape."""
 
+import hashlib
 import random
 import re
 
@@ -315,3 +316,17 @@ def test_first_feed_does_not_depend_on_the_order_of_rows(spark):
         for arrival, feed in (((), "Indeed"), (("n",), "LinkedIn")):
             found = serve.response_rates(applications, frame, arrival).where("dimension = 'feed'").collect()
             assert [r.label for r in found] == [feed]
+
+
+def test_prints_are_made_where_the_text_lies(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "SHINGLES", 2)
+    rows = spark.createDataFrame([(1, None), (2, "?"), (3, "zwei Wörter"), (4, "a b c d e f g")], "id long, t string")
+    prints = resolve.simhash(rows, "id", "t")
+    assert "Exchange" not in _plan(prints)
+
+    def expected(shingles):
+        hashes = [int(hashlib.md5(s.encode()).hexdigest()[:16], 16) for s in shingles]
+        return signed(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+
+    letters = ["a b c", "b c d", "c d e", "d e f", "e f g"]
+    assert {r.id: r.simhash for r in prints.collect()} == {1: 0, 2: 0, 3: expected(["zwei worter"]), 4: expected(letters)}
