@@ -71,15 +71,17 @@ class PrintIndex:
         """(block, simhash, near_simhash, near_id, distance) of indexed prints within ten bits of each of `prints`.
 
         `prints` holds distinct (block, simhash). The buckets that they ask for are collected (BUCKETS numbers at
-        most) and become a partition filter, so that no other file is opened.
+        most) and become a partition filter, so that no other file is opened. The values asked for are many times their
+        prints: they go straight into the join and are not kept.
         """
-        asked = cut_lineage(_slots(prints.select("block", "simhash"), _FLIPS))
-        hit = [r.bucket for r in asked.select("bucket").distinct().collect()]
+        own = cut_lineage(prints.select("block", "simhash"))
+        hit = [r.bucket for r in own.select(_bucket().alias("bucket")).distinct().collect()]
+        asked = _slots(own, _FLIPS)
         stored = self.read().where(F.col("bucket").isin(hit)).select(
             "bucket", "block", "band", "slot", F.col("simhash").alias("near_simhash"), F.col("id").alias("near_id")
         )
         distance = resolve.hamming(F.col("simhash"), F.col("near_simhash"))
-        met = asked.join(stored, ["bucket", "block", "band", "slot"]).where(distance <= fv.MAX_HAMMING)
+        met = asked.join(stored.hint("merge"), ["bucket", "block", "band", "slot"]).where(distance <= fv.MAX_HAMMING)
         return met.select("block", "simhash", "near_simhash", "near_id", distance.cast("int").alias("distance")).distinct()
 
 

@@ -155,3 +155,14 @@ def test_an_update_without_rows(spark, table):
     before = files(table)
     assert table.update(spark.createDataFrame([], "id long, state string"), put).count() == 0
     assert files(table) == before
+
+
+def test_asked_values_are_not_kept(spark, monkeypatch):
+    """What is written before the join is the prints, not their 548 band values."""
+    written = []
+    monkeypatch.setattr(kept, "cut_lineage", lambda df: written.append(df.count()) or df)
+    index = kept.PrintIndex(spark)
+    index.add(spark.createDataFrame([("x", 1, 1)], "block string, simhash long, id long"))
+    near = index.near(spark.createDataFrame([("x", 3), ("x", -1)], "block string, simhash long"))
+    assert [(r.simhash, r.near_id, r.distance) for r in near.collect()] == [(3, 1, 1)]
+    assert written == [2]
