@@ -32,6 +32,10 @@ def ngrams(values: pa.Array, sizes: range, buckets: int) -> tuple[np.ndarray, np
     return np.concatenate(found or [none]), np.concatenate(words or [none])
 
 
+#: Words whose n-grams are in memory at a time: about 100 bytes for each of their characters.
+WORDS_AT_ONCE = 1 << 13
+
+
 class Features:
     """`own` buckets for words and `grams` for n-grams; a text's vector is the average over all its features."""
 
@@ -63,16 +67,20 @@ class Features:
         return out
 
     def projected(self, words: Words, table: np.ndarray) -> np.ndarray:
-        """`vectors(words) @ table`, without the vectors."""
-        at, word = self.of_words(words)
+        """`vectors(words) @ table`, without the vectors. Distinct words are cut up WORDS_AT_ONCE at a time."""
         kinds, n = len(words.values), len(words.starts) - 1
-        size = np.bincount(word, minlength=kinds).astype(np.float64)
+        size, by_word = np.empty(kinds), np.empty((table.shape[1], kinds))
+        for a in range(0, kinds, WORDS_AT_ONCE):
+            few = words.values.slice(a, WORDS_AT_ONCE)
+            at, word = self.of_words(Words(words.codes[:0], words.starts[:1], few))
+            size[a : a + len(few)] = np.bincount(word, minlength=len(few))
+            for k in range(table.shape[1]):
+                by_word[k, a : a + len(few)] = np.bincount(word, weights=table[at, k], minlength=len(few))
         rows = words.rows()
         total = np.maximum(np.bincount(rows, weights=size[words.codes], minlength=n), 1.0)
         out = np.empty((n, table.shape[1]))
         for k in range(table.shape[1]):
-            by_word = np.bincount(word, weights=table[at, k], minlength=kinds)
-            out[:, k] = np.bincount(rows, weights=by_word[words.codes], minlength=n) / total
+            out[:, k] = np.bincount(rows, weights=by_word[k][words.codes], minlength=n) / total
         return out
 
 

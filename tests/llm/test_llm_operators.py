@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -24,7 +25,9 @@ from gleanline.llm import (
     quality_classifier,
     quality_rules,
     secret_scan,
+    subwords,
 )
+from gleanline.llm.shared import words_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -440,3 +443,17 @@ def test_exchange_ends_when_no_move_is_left():
     for w in range(150):
         for c in range(12):
             assert likelihood([*label[:w], c, *label[w + 1 :]]) <= reached + 1e-3
+
+
+def test_language_features_are_cut_up_some_words_at_a_time():
+    """Memory follows the words at hand, not all distinct words of a slice; the result stays the same."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=10)) for _ in range(400)) for _ in range(150)]
+    words, table = words_of(pa.array(texts)), np.random.default_rng(3).normal(size=(4096, 3))
+    assert len(words.values) > 5 * subwords.WORDS_AT_ONCE
+    tracemalloc.start()
+    got = language_id.FEATURES.projected(words, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6
+    assert np.allclose(got, language_id.FEATURES.vectors(words) @ table, atol=1e-6)
