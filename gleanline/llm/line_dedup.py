@@ -99,16 +99,43 @@ def _room(n_a: Column, n_b: Column, percent: int) -> Column:
     return n_a + n_b - 2 * F.ceil((n_a + n_b) * percent / (100 + percent)).cast("int")
 
 
-def _alike(percent: int) -> Column:
-    """What sizes and signatures of sets a and b allow."""
-    a, b = F.col("n_a"), F.col("n_b")
+def _alike(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
+    """What sizes `n` and signatures `s` of two sets allow."""
+    a, b = x["n"], y["n"]
     long_enough = F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    differ = sum(F.bit_count(F.col(f"s_a.{half}").bitwiseXOR(F.col(f"s_b.{half}"))) for half in ("low", "high"))
+    differ = sum(F.bit_count(x["s"][half].bitwiseXOR(y["s"][half])) for half in ("low", "high"))
     return long_enough & (differ <= _room(a, b, percent))
 
 
-def _side(entries: DataFrame, side: str, *more: str) -> DataFrame:
-    return entries.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("set", "n", "s", *more)])
+def _packed(entries: DataFrame, side: str) -> DataFrame:
+    """What the join of all prefixes shuffles and sorts, in six numbers; `_unpacked` has their meaning.
+
+    Words meet as 32-bit hashes; words that only share the hash are told apart by the filters and by the full sets.
+    """
+    numbers = {
+        "low": F.col("s.low"),
+        "high": F.col("s.high"),
+        "doc": F.col("set.doc_id"),
+        "size": F.shiftleft(F.col("set.line_no").cast("long"), 32).bitwiseOR(F.col("n").cast("long")),
+        "spot": F.shiftleft(F.col("at").cast("long"), 1).bitwiseOR(F.col("gone").cast("long")),
+    }
+    return entries.select(F.hash("token").alias("token"), *[v.alias(f"{k}_{side}") for k, v in numbers.items()])
+
+
+def _unpacked(side: str) -> dict[str, Column]:
+    size, spot = F.col(f"size_{side}"), F.col(f"spot_{side}")
+    line_no = F.shiftright(size, 32).cast("int")
+    return {
+        "set": F.struct(F.col(f"doc_{side}").alias("doc_id"), line_no.alias("line_no")),
+        "n": size.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"),
+        "s": F.struct(F.col(f"low_{side}").alias("low"), F.col(f"high_{side}").alias("high")),
+        "at": F.shiftright(spot, 1).cast("int"),
+        "gone": spot.bitwiseAND(F.lit(1).cast("long")) == 1,
+    }
+
+
+def _side(entries: DataFrame, side: str) -> DataFrame:
+    return entries.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("set", "n", "s")])
 
 
 def _star_matches(docs: DataFrame, firsts: DataFrame, ranks: Column, percent: int) -> DataFrame:
@@ -118,7 +145,8 @@ def _star_matches(docs: DataFrame, firsts: DataFrame, ranks: Column, percent: in
     last = F.size("prefix")
     some = F.array_distinct(F.array(*[F.element_at("prefix", F.ceil(last * part).cast("int")) for part in (0.3, 0.5, 1.0)]))
     asked = firsts.select("set", "n", "s", F.explode(some).alias("token"))
-    met = _side(widest, "a").join(_side(asked, "b"), "token").where((F.col("set_a") < F.col("set_b")) & _alike(percent))
+    a, b = ({c: F.col(f"{c}_{side}") for c in ("set", "n", "s")} for side in "ab")
+    met = _side(widest, "a").join(_side(asked, "b"), "token").where((a["set"] < b["set"]) & _alike(a, b, percent))
     pairs = store(met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct())
     sets = store(_sets(docs, pairs, ranks))
     found = store(_similar(pairs, sets, percent).distinct())
@@ -146,25 +174,29 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         .agg(F.min(F.struct("doc_id", "line_no", "s", "prefix")).alias("m"), F.count("*").alias("copies"))
         .select("k1", "k2", "n", "copies", F.struct("m.doc_id", "m.line_no").alias("set"), "m.s", "m.prefix")
     )
-    copies = (
+    copies = store(
         lines.join(firsts.where("copies > 1").select("k1", "k2", "n", "set"), ["k1", "k2", "n"])
         .where(place != F.col("set"))
         .select("doc_id", "line_no")
     )
+    forget(lines)
     settled = _star_matches(docs, firsts, ranks, percent)
     flagged = firsts.select("set", "n", "s", "prefix").join(settled.select(F.col("b").alias("set"), F.lit(True).alias("gone")), "set", "left")
     flagged = flagged.select("set", "n", "s", F.coalesce("gone", F.lit(False)).alias("gone"), "prefix")
     shorter = F.slice("prefix", F.lit(1), _indexed(F.col("n"), percent))
-    small = flagged.select("set", "n", "s", "gone", F.posexplode(shorter).alias("at", "token"))
-    large = flagged.select("set", "n", "s", "gone", F.posexplode("prefix").alias("at", "token"))
+    # Similar sets that differ have so many common words at least; the larger one has another word.
+    common = F.lit(percent)
+    small = flagged.where(F.col("n") * (100 - percent) >= common).select("set", "n", "s", "gone", F.posexplode(shorter).alias("at", "token"))
+    large = flagged.where((F.col("n") - 1) * (100 - percent) >= common).select("set", "n", "s", "gone", F.posexplode("prefix").alias("at", "token"))
+    x, y = _unpacked("a"), _unpacked("b")
     # Of sets of one size the earlier is taken for the smaller.
-    roles = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("set_a") < F.col("set_b")))
-    early = F.col("at_a") + F.col("at_b") <= _room(F.col("n_a"), F.col("n_b"), percent)
-    later_open = ~F.when(F.col("set_a") < F.col("set_b"), F.col("gone_b")).otherwise(F.col("gone_a"))
-    a, b = _side(small, "a", "gone", "at"), _side(large, "b", "gone", "at")
+    roles = (x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["set"] < y["set"]))
+    early = x["at"] + y["at"] <= _room(x["n"], y["n"], percent)
+    later_open = ~F.when(x["set"] < y["set"], y["gone"]).otherwise(x["gone"])
+    a, b = _packed(small, "a"), _packed(large, "b")
     pairs = store(
-        a.join(b, (a["token"] == b["token"]) & roles & later_open & early & _alike(percent))
-        .groupBy(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b"))
+        a.join(b, (a["token"] == b["token"]) & roles & later_open & early & _alike(x, y, percent))
+        .groupBy(F.least(x["set"], y["set"]).alias("a"), F.greatest(x["set"], y["set"]).alias("b"))
         .agg(F.count("*").alias("shared"))
     )
     sets = store(_sets(docs, pairs, ranks))
@@ -174,7 +206,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     others = pairs.join(found, "b", "left_anti").join(best.withColumnRenamed("a", "tried"), "b").where("a <> tried")
     similar = settled.unionByName(found).unionByName(_similar(others, sets, percent)).select("b.doc_id", "b.line_no").distinct()
     out = store(copies.unionByName(similar))
-    for old in (lines, firsts, settled, pairs, sets, best, found):
+    for old in (copies, firsts, settled, pairs, sets, best, found):
         forget(old)
     return out
 

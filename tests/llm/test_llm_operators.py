@@ -457,3 +457,22 @@ def test_language_features_are_cut_up_some_words_at_a_time():
     tracemalloc.stop()
     assert peak < 25e6
     assert np.allclose(got, language_id.FEATURES.vectors(words) @ table, atol=1e-6)
+
+
+def test_lines_go_before_prefixes_meet(spark, monkeypatch):
+    """The table of all lines is deleted before the join of prefixes, whose rows are six numbers and a word's hash."""
+    order, store, forget = [], line_dedup.store, line_dedup.forget
+    monkeypatch.setattr(line_dedup, "store", lambda df: order.append(("store", *df.columns)) or store(df))
+    monkeypatch.setattr(line_dedup, "forget", lambda df: order.append(("forget", *df.columns)) or forget(df))
+    rows = [(1, "one two three four five six\nx"), (2, "one two three four five six seven"), (3, "x")]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1}
+    lines = next(i for i, step in enumerate(order) if step[0] == "forget" and "k1" in step)
+    assert lines < order.index(("store", "a", "b", "shared"))
+
+
+def test_packed_prefixes_keep_what_they_hold(spark):
+    rows = [((-5, 2**31 - 1), 2**31 - 1, (-1, 7), 2**31 - 2, True, -9), ((2**62, 0), 1, (3, -(2**63)), 0, False, 4)]
+    kind = "set struct<doc_id:long,line_no:int>, n int, s struct<low:long,high:long>, at int, gone boolean, token long"
+    out = line_dedup._packed(spark.createDataFrame(rows, kind), "a").select(*[v.alias(k) for k, v in line_dedup._unpacked("a").items()])
+    assert [tuple(map(lambda v: tuple(v) if isinstance(v, tuple) else v, r)) for r in out.collect()] == [r[:5] for r in rows]
