@@ -222,3 +222,18 @@ def test_open_names_can_stay(spark):
     raw = "<p>a&ampb &amp; &copyc &#233;</p>"
     assert value(spark, text.html_to_text, raw) == "a&b & ©c é"
     assert value(spark, lambda c: text.html_to_text(c, open_names=False), raw) == "a&ampb & &copyc é"
+
+
+def test_prose_quality_cuts_a_text_once(spark):
+    """Lines are not stripped to see whether they are filled, and their shape is worked out once for all its uses."""
+    rows = [(0, None), (1, ""), (2, "\n \n\t\x1c"), (3, "ab\r \n \nbc d\n\x1f")]
+    texts = spark.createDataFrame(rows, "id int, text string")
+    made = texts.select("id", text.prose_quality(F.col("text")).alias("q"))
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") == 1 and plan.count("split(") == 1
+    got = {r.id: r.q for r in made.collect()}
+    # Two lines of four characters are filled, "ab\\r " and "bc d".
+    assert got[0] == got[1] == got[2] == 0.0
+    shown = "ab\r \n \nbc d\n\x1f"
+    letters = sum(c.isalpha() or c in " \t\n\r\x0b\x0c" for c in shown)
+    assert abs(got[3] - (4 / 80 * 0.5 + letters / len(shown) * 0.4 + 0.1)) < 1e-12
