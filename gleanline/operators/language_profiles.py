@@ -6,6 +6,10 @@ profile; the nearest language counts only if it is near enough and clearly neare
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,21 +63,58 @@ def profiles(labelled: DataFrame, places: int = PLACES) -> DataFrame:
     return _ranked(counts(labelled.where("lang IS NOT NULL"), "lang", "text"), "lang", places)
 
 
+def _key(gram: str) -> int:
+    """An n-gram as one number, 21 bits a character; numbers are in the order of the n-grams."""
+    codes = [ord(c) for c in gram] + [0] * LONGEST
+    return codes[0] << 42 | codes[1] << 21 | codes[2]
+
+
+def _most_frequent(text: str, places: int) -> np.ndarray:
+    """Keys of the most frequent n-grams of words between single blanks, in the order of their places."""
+    c = np.frombuffer(f" {text} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+    one = c[1:-1][c[1:-1] != 32] << 42
+    two = c[:-1] << 42 | c[1:] << 21
+    # A run of three with a blank inside belongs to two words.
+    three = (two[:-1] | c[2:])[c[1:-1] != 32]
+    keys, n = np.unique(np.concatenate([one, two, three]), return_counts=True)
+    return keys[np.argsort(-n, kind="stable")[:places]]
+
+
 def distances(texts: DataFrame, known: DataFrame, id_column: str, text_column: str, places: int = PLACES) -> DataFrame:
     """(id, lang, distance) of each text of LEAST_CHARS characters to each language: mean displacement, 0 to 1.
 
-    An n-gram that the language's profile lacks counts as far as can be. Texts are spread by id once, before they are
-    cut up: words, n-grams and places of a text are counted where it lies, so only texts are shuffled. `known` holds
-    `places` rows for each language and goes to every task.
+    An n-gram that the language's profile lacks counts as far as can be. Texts of one id are brought together, then
+    n-grams are counted and placed inside the row, one text at a time: only texts are shuffled, and no task sorts or
+    keeps more n-grams than those of one text. `known` holds `places` rows for each language and goes to every task.
     """
-    spread = texts.where(F.length(text_column) >= LEAST_CHARS).select(id_column, text_column).repartition(id_column)
-    own = _ranked(counts(spread, id_column, text_column), id_column, places).withColumnRenamed("place", "own")
-    met = own.join(F.broadcast(known), "gram", "left")
-    near = F.sum(F.lit(places) - F.abs(F.col("own") - F.col("place")))
-    by_lang = met.groupBy(id_column, "lang").agg(near.alias("nearness"), F.max("own").alias("last"))
-    # A text's places are numbered without gaps, so the last one is their number.
-    sized = by_lang.withColumn("size", F.max("last").over(Window.partitionBy(id_column))).where("lang IS NOT NULL")
-    return sized.select(id_column, "lang", (1 - F.col("nearness") / (F.col("size") * places)).alias("distance"))
+    profile: dict[str, list[tuple[int, int]]] = {}
+    for lang, gram, place in known.select("lang", "gram", "place").collect():  # `places` rows a language
+        profile.setdefault(lang, []).append((_key(gram), place))
+    by_lang = {lang: np.array(sorted(rows), np.int64).T for lang, rows in profile.items()}
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, langs, far = [], [], []
+            for i, text in enumerate(batch["words"].to_pylist()):
+                if not text:
+                    continue
+                own = _most_frequent(text, places)
+                for lang, (keys, place) in by_lang.items():
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    met = np.flatnonzero(keys[at] == own)
+                    if len(met):
+                        nearness = int((places - np.abs(met + 1 - place[at[met]])).sum())
+                        rows.append(i)
+                        langs.append(lang)
+                        far.append(1 - nearness / (len(own) * places))
+            ids = batch[id_column].take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(langs, pa.string()), pa.array(far, pa.float64())], names=[id_column, "lang", "distance"])
+
+    long = texts.where(F.length(text_column) >= LEAST_CHARS)
+    own = long.groupBy(id_column).agg(F.collect_list(text_column).alias("texts"))
+    spaced = F.array_join(F.flatten(F.transform("texts", words)), " ")
+    kind = own.schema[id_column].dataType.simpleString()
+    return own.select(id_column, spaced.alias("words")).mapInArrow(compare, f"`{id_column}` {kind}, lang string, distance double")
 
 
 def detect(texts: DataFrame, known: DataFrame, id_column: str, text_column: str, farthest: float = FARTHEST, margin: float = MARGIN) -> DataFrame:

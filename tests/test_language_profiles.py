@@ -55,3 +55,28 @@ def test_only_texts_are_shuffled(spark):
     rows = spark.createDataFrame(list(OTHER.items()), "id string, text string")
     plan = language_profiles.distances(rows, known, "id", "text")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 1
+
+
+def test_grams_are_counted_inside_the_row(spark):
+    rows = spark.createDataFrame(list(OTHER.items()), "id string, text string")
+    known = spark.createDataFrame([("en", "the", 1)], "lang string, gram string, place int")
+    plan = language_profiles.distances(rows, known, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # no row for each word or n-gram, which a task would sort and spill
+
+
+def test_distances_equal_counting_by_rows(spark, known):
+    """Two texts of one id are one; places follow count, then the n-gram's characters."""
+    texts = [("two", OTHER["en"]), ("two", OTHER["it"]), ("de", OTHER["de"]), ("astral", "𝔞𝔟𝔠 𝔟 the of and " * 9), ("one", "the " * 20)]
+    rows = spark.createDataFrame(texts, "id string, text string")
+    own = language_profiles._ranked(language_profiles.counts(rows, "id", "text"), "id", language_profiles.PLACES).withColumnRenamed("place", "own")
+    profile, places = known.collect(), {}
+    for r in own.collect():
+        places.setdefault(r.id, {})[r.gram] = r.own
+    expected = {}
+    for ident, mine in places.items():
+        for lang in {r.lang for r in profile}:
+            met = [language_profiles.PLACES - abs(mine[r.gram] - r.place) for r in profile if r.lang == lang and r.gram in mine]
+            if met:
+                expected[ident, lang] = 1 - sum(met) / (len(mine) * language_profiles.PLACES)
+    found = {(r.id, r.lang): r.distance for r in language_profiles.distances(rows, known, "id", "text").collect()}
+    assert found == pytest.approx(expected, abs=1e-12)
