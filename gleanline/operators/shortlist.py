@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from . import retrieve
 
 #: Documents of one block of a posting list, about.
@@ -51,7 +51,7 @@ def impacts(documents: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFram
     frequency = lists.groupBy("gram").agg(F.count("*").alias("df"), F.max("part").alias("most"))
     idf = F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = wanted.join(frequency, "gram").select("profile_id", "gram", (F.col("weight") * idf).alias("w"), "most")
-    return lists, cut_lineage(weighted), corpus
+    return lists, stored(weighted), corpus
 
 
 def _best(rows: DataFrame, score: str, top: int, by: str = "profile_id") -> DataFrame:
@@ -86,7 +86,7 @@ def candidates(lists: DataFrame, weighted: DataFrame, top: int) -> DataFrame:
     partial = champions.join(weighted, "gram").groupBy("profile_id", "id").agg(F.sum(F.col("w") * F.col("part")).alias("known"))
     least = _worst_place(partial, "known", top)
     rising = Window.partitionBy("profile_id").orderBy(F.col("w") * F.col("most"), "gram").rowsBetween(Window.unboundedPreceding, 0)
-    split = cut_lineage(
+    split = stored(
         weighted.join(least, "profile_id", "left")
         .withColumn("least", F.coalesce("least", F.lit(0.0)))
         .withColumn("weak", F.sum(F.col("w") * F.col("most")).over(rising) < F.col("least") - SLACK)
