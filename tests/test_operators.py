@@ -341,3 +341,25 @@ def test_grams_are_counted_in_the_row_of_their_id(spark):
     got = {(r.id, r.gram): r.n for r in counts.collect()}
     first = {"a": 4, "b": 3, "a b": 3, "b a": 2, "a b a": 2, "b a b": 1}
     assert got == {**{(1, g): n for g, n in first.items()}, (2, "c++"): 1, (None, "x"): 2, (None, "x x"): 1, (5, "y"): 1}
+
+
+def test_ids_and_keys_of_a_store_are_not_broadcast(spark):
+    """They compress so well that a limit on shuffled bytes sends tables through the driver that grow with the store."""
+    rows = spark.createDataFrame([(1, "acme", "acme|dev|", 7, 400)], "id long, company_normalized string, canonical_key string, simhash long, chars long")
+    stored = rows.withColumn("is_active", F.lit(True))
+    matched = spark.createDataFrame([(1, None)], "id long, stored_id long")
+    fresh = resolve.insert_new(rows.withColumns({"source": F.lit("a"), "external_id": F.lit("1")}), matched, now())
+    plans = []
+    for df in (fresh, resolve.match_stored(rows, stored)):
+        assert df.count() == 1 and len(df.collect()) == 1  # sizes are known while it runs
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert "BroadcastHashJoin" not in plans[0]
+    assert not re.search(r"BroadcastHashJoin \[(canonical_key|company_normalized)", plans[1])
+
+
+def test_prints_are_spread_before_they_multiply(spark):
+    """Few prints lie in one partition after a grouping; their probes are made in many."""
+    prints = spark.range(1000).select(F.lit("b").alias("block"), F.xxhash64("id").alias("simhash"), "id")
+    grouped = prints.groupBy("block", "simhash").agg(F.min("id").alias("id"))
+    places = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert places(grouped) == 1 and places(resolve.spread_prints(grouped)) > 1
