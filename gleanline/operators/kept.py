@@ -76,7 +76,7 @@ class PrintIndex:
         """
         own = cut_lineage(prints.select("block", "simhash"))
         hit = [r.bucket for r in own.select(_bucket().alias("bucket")).distinct().collect()]
-        asked = _slots(own, _FLIPS)
+        asked = _slots(resolve.spread_prints(own), _FLIPS)
         stored = self.read().where(F.col("bucket").isin(hit)).select(
             "bucket", "block", "band", "slot", F.col("simhash").alias("near_simhash"), F.col("id").alias("near_id")
         )
@@ -92,7 +92,7 @@ def match_kept(incoming: DataFrame, keys: DataFrame, active: DataFrame, index: P
     Input: incoming(id, canonical_key, company_normalized, simhash, chars), keys(canonical_key, id) with the smallest
     id of each key, active(id): stored postings that are open. Neither texts nor prints of other buckets are read.
     """
-    looked_up = incoming.join(keys.select("canonical_key", F.col("id").alias("key_id")), "canonical_key", "left")
+    looked_up = incoming.join(keys.select("canonical_key", F.col("id").alias("key_id")).hint("merge"), "canonical_key", "left")
     eligible = F.col("key_id").isNull() & (F.col("chars") >= fv.MIN_FINGERPRINT_CHARS)
     open_rows = looked_up.where(eligible).select(F.col("company_normalized").alias("block"), "simhash").distinct()
     near = index.near(open_rows).join(active.select(F.col("id").alias("near_id")), "near_id", "left_semi")
