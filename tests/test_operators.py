@@ -363,3 +363,13 @@ def test_prints_are_spread_before_they_multiply(spark):
     grouped = prints.groupBy("block", "simhash").agg(F.min("id").alias("id"))
     places = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
     assert places(grouped) == 1 and places(resolve.spread_prints(grouped)) > 1
+
+
+def test_hot_buckets_equal_those_of_probes(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "BUCKET_ROWS", 3)
+    rng = random.Random(5)
+    rows = [(rng.choice("xy"), signed(rng.getrandbits(4) << 60 | rng.getrandbits(3) << 16 | rng.getrandbits(2))) for _ in range(120)]
+    nodes = spark.createDataFrame(rows, "block string, simhash long").distinct().cache()
+    n = resolve._probes(nodes).groupBy("block", "band", "slot").count().where("count > 3")
+    expected = {(r.block, r.band, r.slot, -(-r["count"] // 3)) for r in n.collect()}
+    assert {tuple(r) for r in resolve._hot_buckets(nodes).collect()} == expected != set()
