@@ -428,6 +428,44 @@ def test_exchange_finds_classes():
     assert len(set(label[:5])) == len(set(label[5:10])) == 1 and label[0] != label[9]
 
 
+def test_words_beyond_the_frequent_ones_get_classes_of_their_own(spark, monkeypatch):
+    """Words that take turns are told apart by their neighbours, though they have one ending and move after the frequent ones."""
+    monkeypatch.setattr(class_lm, "FREQUENT", 4)
+    rng = random.Random(11)
+    odd, even = ([f"{side}{k}xx" for k in range(40)] for side in "pq")
+    turn = lambda n: " ".join(rng.choice(odd) + " " + rng.choice(even) for _ in range(n))
+    rows = [(i, turn(60)) for i in range(80)]
+    tried = [w for w in turn(100).split(" ")]
+    rows += [(1000, " ".join(tried)), (1001, " ".join(tried[::2] + tried[1::2]))]  # the same words, and few of them in turn
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in class_lm.scored(docs, F.col("doc_id") < 1000).collect()}
+    assert got[1000].base_score == pytest.approx(got[1001].base_score)
+    assert got[1000].score > got[1001].score + 100 and got[1000].score > got[1000].base_score + 50
+    # As many classes as sides suffice to say each word's turn: the text costs what the choice among 40 words costs.
+    assert got[1000].score == pytest.approx(-200 * math.log10(40), rel=0.1)
+
+
+def test_a_word_goes_where_the_class_bigrams_gain_most():
+    rng = np.random.default_rng(4)
+    table = rng.poisson(40.0, (5, 5)).astype(float)
+    around = rng.poisson(0.8, (30, 10)).astype(float)
+    label = rng.integers(0, 4, 30)
+    got = class_lm.best_classes(around, label, table)
+    for w in range(30):
+        def reached(c, w=w):
+            t, n = table.copy(), around[w, :5].sum()
+            rows = t.sum(1)
+            worth = 0.0
+            for j in range(5):  # cells of the row and of the column are weighed apart, as a rare word hardly fills both
+                for cell, x in ((t[c, j], around[w, j]), (t[j, c], around[w, 5 + j])):
+                    base = cell - x if c == label[w] else cell
+                    worth += class_lm._xlogx(base + x) - class_lm._xlogx(base)
+            base = rows[c] - n if c == label[w] else rows[c]
+            return worth - 2 * (class_lm._xlogx(base + n) - class_lm._xlogx(base))
+
+        assert reached(got[w]) >= max(reached(c) for c in range(4)) - 1e-6
+
+
 def test_exchange_ends_when_no_move_is_left():
     rng = np.random.default_rng(0)
     counts = np.zeros((151, 151))
