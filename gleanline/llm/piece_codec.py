@@ -28,10 +28,12 @@ from .shared import slices
 BLANK = "\u2581"
 
 
-#: Words whose ids a process keeps; it starts anew before there are more.
-WORDS_KEPT = 1 << 19
+#: Words whose ids a process keeps; before there are more, it drops all but those that it met most often.
+WORDS_KEPT = 1 << 20
 #: Characters of new words whose suffixes are sorted together.
-BATCH_CHARS = 300_000
+BATCH_CHARS = 600_000
+#: Places for the answers on pairs of neighbours that are looked at first.
+NEAR = 1 << 19
 
 
 def default_model() -> str:
@@ -68,11 +70,21 @@ class Codec:
         self.own = np.zeros(count, bool)
         self.own[[i for i, ok in self.alone.items() if ok]] = True
         self.pairs, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
-        self.forget_words()
-
-    def forget_words(self) -> None:
+        self.near, self.near_fits = np.full(NEAR, -1, np.int64), np.zeros(NEAR, bool)
+        self.spelling = pa.array(self.raw, pa.binary())
         self.known: dict[str, int] = {}
         self.token, self.first, self.n_ids = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.met = np.zeros(0, np.int32)
+
+    def forget_words(self) -> None:
+        """Keep the words of the most slices, half of WORDS_KEPT at most and none that was met once."""
+        often = np.argsort(-self.met, kind="stable")[: WORDS_KEPT // 2]
+        keep = np.sort(often[self.met[often] > 1])
+        names, n = list(self.known), self.n_ids[keep]
+        starts = np.cumsum(n) - n
+        self.token = self.token[np.arange(n.sum()) + np.repeat(self.first[keep] - starts, n)]
+        self.first, self.n_ids, self.met = starts, n, self.met[keep] // 2
+        self.known = {names[i]: k for k, i in enumerate(keep.tolist())}
 
     def merged(self, text: str) -> list[int]:
         """The encoding by merging: the best-ranked pair of neighbours first, the leftmost of equals. Used on short texts."""
@@ -91,18 +103,28 @@ class Codec:
         """Whether each two pieces stay apart when encoded together; new pairs are worked out once per process."""
         width = self.count + 0x110000
         asked = left * width + right
-        at = np.searchsorted(self.pairs, asked)
-        known = np.zeros(len(asked), bool)
+        place = (left * 40_503 + right * 2_654_435_761 >> 7) & (NEAR - 1)
+        out = self.near_fits[place]
+        far = np.flatnonzero(self.near[place] != asked)
+        if not len(far):
+            return out
+        kinds, back = np.unique(asked[far], return_inverse=True)
+        at = np.searchsorted(self.pairs, kinds)
+        known = np.zeros(len(kinds), bool)
         inside = at < len(self.pairs)
-        known[inside] = self.pairs[at[inside]] == asked[inside]
-        new = np.unique(asked[~known])
+        known[inside] = self.pairs[at[inside]] == kinds[inside]
+        new = kinds[~known]
         if len(new):
             spell = lambda i: self.text[i] if i < self.count else chr(i - self.count)
             fits = np.array([self.merged(spell(x // width) + spell(x % width)) == [x // width, x % width] for x in new.tolist()], bool)
-            order = np.argsort(np.concatenate([self.pairs, new]), kind="stable")
-            self.pairs, self.fits = np.concatenate([self.pairs, new])[order], np.concatenate([self.fits, fits])[order]
-            at = np.searchsorted(self.pairs, asked)
-        return self.fits[at]
+            # Both are sorted: new pairs go between the known ones.
+            spots = np.searchsorted(self.pairs, new)
+            self.pairs, self.fits = np.insert(self.pairs, spots, new), np.insert(self.fits, spots, fits)
+            at = np.searchsorted(self.pairs, kinds)
+        out[far] = self.fits[at][back]
+        self.near[place[far]] = asked[far]
+        self.near_fits[place[far]] = out[far]
+        return out
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has."""
@@ -134,9 +156,8 @@ class Codec:
         p_points = np.frombuffer("".join(self.plain).encode("utf-32-le"), np.uint32).astype(np.int64)
         p_stops = np.cumsum(self.sizes)
         p_dense, p_ends, first = np.searchsorted(alphabet, p_points) + 1, np.repeat(p_stops, self.sizes), p_stops - self.sizes
-        text = np.rec.fromarrays([s[order] for s in suffix])
-        low, high = (np.rec.fromarrays([k[first] for k in keys(p_dense, p_ends, fill)]) for fill in (0, (1 << bits) - 1))
-        lo, hi = _search(text, low, False), _search(text, high, True)
+        low, high = ([k[first] for k in keys(p_dense, p_ends, fill)] for fill in (0, (1 << bits) - 1))
+        lo, hi = _ranges([s[order] for s in suffix], low, high)
         found = hi - lo
         which = np.repeat(np.arange(len(found)), found)
         start = order[np.arange(found.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(found)[:-1]]), found)]
@@ -220,9 +241,10 @@ class Codec:
 
     def learned(self, words: list[str]) -> np.ndarray:
         """The place of each word in `first` and `n_ids`; words that this process has not met are encoded together."""
-        if len(self.known) + len(words) > WORDS_KEPT:
-            self.forget_words()
         new = [w for w in words if w not in self.known]
+        if len(self.known) and len(self.known) + len(new) > WORDS_KEPT:
+            self.forget_words()
+            new = [w for w in words if w not in self.known]
         stops = np.cumsum([len(w) for w in new]) if new else np.zeros(0, int)
         start = 0
         while start < len(new):  # batches of bounded size; a longer word is one of its own
@@ -232,29 +254,47 @@ class Codec:
             self.token, self.n_ids = np.concatenate([self.token, token.astype(np.int32)]), np.concatenate([self.n_ids, count])
             self.known |= {w: len(self.known) + k for k, w in enumerate(new[start:stop])}
             start = stop
-        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
+        at = np.fromiter((self.known[w] for w in words), np.int64, len(words))
+        self.met[at] += 1
+        return at
 
     def decode(self, ids: list[int]) -> str:
         """The text of some ids, without the blank before it; bytes that are no text become U+FFFD."""
         text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
+    def spelled(self, ids: np.ndarray, edges: np.ndarray) -> list[str]:
+        """`decode` of each stretch of ids, all of them looked up at once."""
+        parts = self.spelling.take(pa.array(ids))
+        _, offsets, data = parts.buffers()
+        stops = np.frombuffer(offsets, np.int32)[edges].tolist() if len(ids) else [0] * len(edges)
+        data = memoryview(data) if data is not None else memoryview(b"")
+        texts = [str(data[a:b], "utf-8", "replace") for a, b in zip(stops[:-1], stops[1:], strict=True)]
+        return [text[1:] if text.startswith(" ") else text for text in texts]
+
+
+def _ranges(columns: list[np.ndarray], low: list[np.ndarray], high: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where rows from `low` to `high` stand among rows that are sorted by several numbers.
 
-def _search(rows: np.recarray, values: np.recarray, right: bool) -> np.ndarray:
-    """Binary search of each value in sorted rows of several numbers, all values at once."""
-    lo, hi = np.zeros(len(values), np.int64), np.full(len(values), len(rows), np.int64)
-    names = rows.dtype.names
-    while (lo < hi).any():
+    Low and high differ from the number on in which a piece ends; numbers after it hold no bound.
+    """
+    lo, hi = np.searchsorted(columns[0], low[0]), np.searchsorted(columns[0], high[0], side="right")
+    for k in range(1, len(columns)):
+        more = np.flatnonzero((lo < hi) & (low[k - 1] == high[k - 1]))
+        bounds = lo[more], hi[more]
+        lo[more], hi[more] = _search(columns[k], low[k][more], *bounds, False), _search(columns[k], high[k][more], *bounds, True)
+    return lo, hi
+
+
+def _search(column: np.ndarray, values: np.ndarray, lo: np.ndarray, hi: np.ndarray, right: bool) -> np.ndarray:
+    """Binary search of each value between its own bounds, all values at once."""
+    lo, hi = lo.copy(), hi.copy()
+    while (apart := lo < hi).any():
         mid = (lo + hi) // 2
-        row = rows[np.minimum(mid, len(rows) - 1)]
-        less, same = np.zeros(len(values), bool), np.ones(len(values), bool)
-        for name in names:
-            less |= same & (row[name] < values[name])
-            same &= row[name] == values[name]
-        go = (less | same if right else less) & (lo < hi)
-        stay = ~go & (lo < hi)
-        lo[go] = mid[go] + 1
-        hi[stay] = mid[stay]
+        here = column[np.minimum(mid, len(column) - 1)]
+        go = (here <= values if right else here < values) & apart
+        lo, hi = np.where(go, mid + 1, lo), np.where(apart & ~go, mid, hi)
     return lo
 
 
@@ -315,13 +355,15 @@ def codec_query(docs: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model or default_model())
         for batch in batches:
-            for start, stop in slices(batch["text"], 2 << 20):
+            for start, stop in slices(batch["text"]):
                 part = batch.slice(start, stop - start)
-                rows = []
-                for text, ids in zip(part["text"].to_pylist(), codec.encode(part["text"]).to_pylist(), strict=True):
-                    spelled = codec.decode(ids)
+                lists = codec.encode(part["text"])
+                ids, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
+                data, rows = memoryview(ids.astype("<u4")), []
+                for k, (text, spelled) in enumerate(zip(part["text"].to_pylist(), codec.spelled(ids, edges), strict=True)):
                     digest = hashlib.sha256(spelled.encode()).hexdigest()
-                    rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), digest, spelled == (text or "").replace(BLANK, " ")))
+                    crc = zlib.crc32(data[edges[k] : edges[k + 1]])
+                    rows.append((int(edges[k + 1] - edges[k]), crc, digest, spelled == (text or "").replace(BLANK, " ")))
                 columns = [pa.array(c) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *columns], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
 

@@ -275,6 +275,23 @@ def test_pieces_equal_the_library(docs, empty, rows):
     assert all(r.round_trip for r in piece_codec.codec_query(docs).collect()) and piece_codec.codec_query(empty).count() == 0
 
 
+def test_words_that_come_again_stay_known(monkeypatch):
+    """Known words are not encoded anew, nor are the most frequent ones when others have to go; ids stay the library's."""
+    from sentencepiece import SentencePieceProcessor
+
+    monkeypatch.setattr(piece_codec, "WORDS_KEPT", 8)
+    codec, model, asked = piece_codec.Codec(piece_codec.default_model()), SentencePieceProcessor(model_file=piece_codec.default_model()), []
+    inner = codec.encode_words
+    monkeypatch.setattr(codec, "encode_words", lambda words: asked.append(words) or inner(words))
+    texts = ["one two three four five six", "six five four three two one", "a b c d one six", "six seven", "one e f g h i"]
+    for text in texts:
+        ids = codec.encode(pa.array([text]))
+        assert ids.to_pylist() == [model.encode(text)]
+        assert codec.spelled(ids.values.to_numpy(), ids.offsets.to_numpy()) == [text]
+    assert len(asked[0]) == 6 and [w for words in asked[1:] for w in words if w in ("▁one", "▁two")] == []
+    assert len(codec.known) <= 12 and codec.spelled(np.zeros(0, np.int32), np.zeros(2, np.int32)) == [""]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("ab the\n▁é世\U0001f916 .1"), max_size=40), max_size=5))
 def test_pieces_of_any_text(texts):
