@@ -23,6 +23,8 @@ from .shared import forget, store
 #: Rarity is known for so many hash buckets of words, whatever the size of the corpus.
 BUCKETS = 1 << 17
 HASH_BITS = 55
+#: Prefixes meet in so many parts, by their words, one after the other: only one part's shuffle is on disk.
+PARTS = 4
 
 
 def plain(text: Column) -> Column:
@@ -182,7 +184,8 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     forget(lines)
     settled = _star_matches(docs, firsts, ranks, percent)
     flagged = firsts.select("set", "n", "s", "prefix").join(settled.select(F.col("b").alias("set"), F.lit(True).alias("gone")), "set", "left")
-    flagged = flagged.select("set", "n", "s", F.coalesce("gone", F.lit(False)).alias("gone"), "prefix")
+    flagged = store(flagged.select("set", "n", "s", F.coalesce("gone", F.lit(False)).alias("gone"), "prefix"))
+    forget(firsts)
     shorter = F.slice("prefix", F.lit(1), _indexed(F.col("n"), percent))
     # Similar sets that differ have so many common words at least; the larger one has another word.
     common = F.lit(percent)
@@ -193,12 +196,18 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     roles = (x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["set"] < y["set"]))
     early = x["at"] + y["at"] <= _room(x["n"], y["n"], percent)
     later_open = ~F.when(x["set"] < y["set"], y["gone"]).otherwise(x["gone"])
-    a, b = _packed(small, "a"), _packed(large, "b")
-    pairs = store(
-        a.join(b, (a["token"] == b["token"]) & roles & later_open & early & _alike(x, y, percent))
-        .groupBy(F.least(x["set"], y["set"]).alias("a"), F.greatest(x["set"], y["set"]).alias("b"))
-        .agg(F.count("*").alias("shared"))
-    )
+    parts = []
+    for k in range(PARTS):
+        here = F.pmod(F.shiftright("token", 8), F.lit(PARTS)) == k
+        a, b = _packed(small, "a").where(here), _packed(large, "b").where(here)
+        parts.append(
+            store(
+                a.join(b, (a["token"] == b["token"]) & roles & later_open & early & _alike(x, y, percent))
+                .groupBy(F.least(x["set"], y["set"]).alias("a"), F.greatest(x["set"], y["set"]).alias("b"))
+                .agg(F.count("*").alias("shared_here"))
+            )
+        )
+    pairs = store(reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(F.sum("shared_here").alias("shared")))
     sets = store(_sets(docs, pairs, ranks))
     # Each line is held first against the line with which it shares most, and only those that fail there against all others.
     best = store(pairs.groupBy("b").agg(F.max_by("a", "shared").alias("a")))
@@ -206,7 +215,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     others = pairs.join(found, "b", "left_anti").join(best.withColumnRenamed("a", "tried"), "b").where("a <> tried")
     similar = settled.unionByName(found).unionByName(_similar(others, sets, percent)).select("b.doc_id", "b.line_no").distinct()
     out = store(copies.unionByName(similar))
-    for old in (copies, firsts, settled, pairs, sets, best, found):
+    for old in (copies, flagged, settled, *parts, pairs, sets, best, found):
         forget(old)
     return out
 

@@ -526,6 +526,23 @@ def test_lines_go_before_prefixes_meet(spark, monkeypatch):
     assert lines < order.index(("store", "a", "b", "shared"))
 
 
+def test_prefixes_meet_in_parts(spark, monkeypatch):
+    """A pair that shares words of several parts is counted with all of them, and no part has another's words."""
+    kept, store = [], line_dedup.store
+    monkeypatch.setattr(line_dedup, "store", lambda df: kept.append((tuple(df.columns), out := store(df), out.collect())) or out)
+    rng = random.Random(4)
+    rows = []
+    for i in range(0, 120, 2):  # no line is repeated, so all pairs come from prefixes
+        line = [f"w{i}x{k}" for k in range(30)]
+        rows += [(i, " ".join(line)), (i + 1, " ".join(w if k not in (3, 17) else f"v{rng.random()}" for k, w in enumerate(line)))]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 2 for i in range(120)}
+    parts = [r for columns, _, r in kept if columns == ("a", "b", "shared_here")]
+    assert len(parts) == line_dedup.PARTS and all(0 < len(r) <= 60 for r in parts)
+    (pairs,) = [r for columns, _, r in kept if columns == ("a", "b", "shared")]
+    assert len(pairs) == 60 and sum(r.shared for r in pairs) == sum(r.shared_here for part in parts for r in part)
+
+
 def test_packed_prefixes_keep_what_they_hold(spark):
     rows = [((-5, 2**31 - 1), 2**31 - 1, (-1, 7), 2**31 - 2, True, -9), ((2**62, 0), 1, (3, -(2**63)), 0, False, 4)]
     kind = "set struct<doc_id:long,line_no:int>, n int, s struct<low:long,high:long>, at int, gone boolean, token long"
