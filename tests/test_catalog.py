@@ -65,3 +65,30 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PushedFilters" in text and "props" in text
     text = plan(QUERIES["t12_daily_cap"](spark, SMALL))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in text
+
+
+def twin_rows(spark, folder, name):
+    """Rows of a query and of its SQL over the tables in `folder`."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for path in folder.iterdir():
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}/*.parquet'")
+    found, asked = QUERIES[name](spark, str(folder)), con.execute(TWINS[name])
+    columns = [c[0] for c in asked.description]
+    assert sorted(found.columns) == sorted(columns)
+    return sorted(map(tuple, found.select(columns).collect()), key=str), sorted(asked.fetchall(), key=str)
+
+
+@pytest.fixture
+def odd_documents(spark, tmp_path):
+    """Texts without words, and characters that have an ASCII form only by compatibility."""
+    texts = [None, "", " ", "?!...", "ß", "é", "two wörds", "an…end ﬁne 1½ x² y", "Ǆ ａ ① K", "it's so - so on"]
+    rows = [(i, text, [None, "en", "de"][i % 3], "web", None) for i, text in enumerate(t for t in texts for _ in range(2))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    return tmp_path
+
+
+def test_prints_of_odd_texts_equal_the_sql(spark, odd_documents):
+    for name in ("d01_simhash", "d02_hamming"):
+        found, expected = twin_rows(spark, odd_documents, name)
+        assert found == expected
