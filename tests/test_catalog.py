@@ -92,3 +92,8 @@ def test_prints_of_odd_texts_equal_the_sql(spark, odd_documents):
     for name in ("d01_simhash", "d02_hamming"):
         found, expected = twin_rows(spark, odd_documents, name)
         assert found == expected
+
+
+def test_new_rows_of_odd_texts_equal_the_sql(spark, odd_documents):
+    found, expected = twin_rows(spark, odd_documents, "d10_insert_new")
+    assert found == expected and found
