@@ -271,12 +271,13 @@ def change_applications(applications: DataFrame, changes: DataFrame, now: Column
 def response_rates(applications: DataFrame, links: DataFrame, arrival: tuple[str, ...] = ()) -> DataFrame:
     """(dimension, label, total, replied, rate) by first feed, score band and tier.
 
-    Of links with one time and source the first by the columns `arrival` counts, else the least feed name, so that
-    the result does not depend on the order of rows. Each application is exploded into its three labels, so one
-    aggregation serves all three.
+    A link without a feed name is no feed; unknown times and sources come last. Of links with one time and source the
+    first by the columns `arrival` counts, else the least feed name, so that the result does not depend on the order of
+    rows. Each application is exploded into its three labels, so one aggregation serves all three.
     """
-    order = F.struct("fetched_at", "source", *arrival, feed_name().alias("feed"))
-    first_feed = links.groupBy("match_id").agg(F.min(order).alias("first")).select("match_id", "first.feed")
+    known = [x for n in ("fetched_at", "source") for x in (F.col(n).isNull(), F.col(n))]
+    order = F.struct(*known, *arrival, feed_name().alias("feed"))
+    first_feed = links.where(feed_name().isNotNull()).groupBy("match_id").agg(F.min(order).alias("first")).select("match_id", "first.feed")
     rows = applications.where(F.col("status").isin(fv.MEASURED_STATUSES)).join(first_feed, "match_id", "left")
     labels = F.array(
         F.struct(F.lit("feed").alias("dimension"), F.coalesce("feed", F.lit("n.d.")).alias("label")),

@@ -2,7 +2,9 @@
 
 import contextlib
 import io
+import itertools
 import re
+from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -97,3 +99,19 @@ def test_prints_of_odd_texts_equal_the_sql(spark, odd_documents):
 def test_new_rows_of_odd_texts_equal_the_sql(spark, odd_documents):
     found, expected = twin_rows(spark, odd_documents, "d10_insert_new")
     assert found == expected and found
+
+
+def test_first_feeds_of_links_with_nulls_equal_the_sql(spark, tmp_path):
+    stamp = datetime(2024, 1, 2)
+    kinds = list(itertools.product((None, 1, 2), (1, 2), (None, stamp)))
+    links = [(i, *kind) for i, pair in enumerate(itertools.permutations(kinds, 2)) for kind in pair]
+    orders = [(i, 1, "O", stamp, "1-URGENT") for i in range(len(links) // 2)]
+    tables = {
+        "lineitem": (links, "l_orderkey long, l_suppkey long, l_linenumber int, l_shipdate timestamp_ntz"),
+        "orders": (orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string"),
+        "customer": ([(1, "Customer#1")], "c_custkey long, c_name string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    found, expected = twin_rows(spark, tmp_path, "w13_response_rates")
+    assert found == expected and found
